@@ -250,16 +250,15 @@ dep_years AS (
   FROM (SELECT DISTINCT entity, year(month) AS year FROM spine) y JOIN deps USING (entity)
   GROUP BY y.entity, y.year),
 dep_counts AS (
-  SELECT s.entity, s.month, s.segment AS gender, n.n_dependents,
+  SELECT s.entity, s.month, s.segment AS gender,
          nullif(d.retired, 0) AS retired, nullif(d.children_6, 0) AS children_6,
          nullif(d.children_12, 0) AS children_12,
          CASE WHEN is_male = 0 THEN nullif(d.children_6, 0) END AS children_6_female,
          CASE WHEN is_male = 0 THEN nullif(d.children_12, 0) END AS children_12_female
   FROM snap s
-  LEFT JOIN (SELECT entity, count(*) AS n_dependents FROM deps GROUP BY entity) n ON n.entity = s.entity
   LEFT JOIN dep_years d ON d.entity = s.entity AND d.year = year(s.month))"""
 ORACLES["dependent_counts"] = _with(_LOG, _SPINE, _SNAP, _DEPS, _DEP_COUNTS) + """
-SELECT * REPLACE (CAST(coalesce(n_dependents, 0) AS BIGINT) AS n_dependents) FROM dep_counts"""
+SELECT * FROM dep_counts"""
 
 # --- encoding and calendar -------------------------------------------------------------
 
@@ -342,7 +341,7 @@ wide AS (
          units.unit_size, p.* EXCLUDE (month, post_group), f.* EXCLUDE (month, fact_group),
          CAST(max(f.fact_group_people_count) OVER (PARTITION BY s.entity ORDER BY s.month
               ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS DOUBLE) AS fact_group_people_count_rolling_max_9,
-         d.* EXCLUDE (entity, month, gender, n_dependents),
+         d.* EXCLUDE (entity, month, gender),
          sh.* EXCLUDE (entity, month), lh.* EXCLUDE (entity, month),
          fh.* EXCLUDE (entity, month, month_idx), dim.* EXCLUDE (calendar_month)
   FROM snap s

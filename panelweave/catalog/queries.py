@@ -30,6 +30,7 @@ from panelweave.models import (
     ensemble_scores,
 )
 from panelweave.plans import build_panel, forecast_template
+from panelweave.session import tune
 from panelweave.sources import read_delimited, stage, staging_path, write_delimited
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +42,10 @@ DIGITS = 6
 
 
 def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
+    def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(tune(spark), sf_dir)
+
+    QUERIES[run.__name__] = tuned
     return run
 
 
@@ -197,12 +201,8 @@ def peer_stats(spark, sf):
 
 @query
 def group_size(spark, sf):
-    profile = op.dependent_profile(st.dependents(spark, sf), "entity", "kind", "birth", "n")
-    rows = (
-        st.snapshot(spark, sf)
-        .select("entity", "month", "unit")
-        .join(profile.select("entity", "n_dependents"), "entity", "left")
-    )
+    totals = op.dependent_totals(st.dependents(spark, sf), "entity", "n")
+    rows = st.snapshot(spark, sf).select("entity", "month", "unit").join(totals, "entity", "left")
     sized = op.group_size(rows, "entity", "month", "unit", "n_dependents", "fan_out_size")
     heads = op.group_size(sized, "entity", "month", "unit", out="head_count", source=rows)
     return heads.drop("n_dependents")

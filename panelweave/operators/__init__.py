@@ -14,10 +14,12 @@ from panelweave.operators.activity import (
 )
 from panelweave.operators.calendar import calendar_join
 from panelweave.operators.dependents import (
+    AgeBand,
     DependentRule,
     attach_dependents,
+    dependent_births,
     dependent_counts,
-    dependent_profile,
+    dependent_totals,
     standard_rules,
 )
 from panelweave.operators.encoding import calendar_one_hot, discover_levels, one_hot

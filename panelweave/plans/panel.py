@@ -24,7 +24,8 @@ from panelweave.operators import (
     calendar_one_hot,
     count_of,
     counts_by_level,
-    dependent_profile,
+    dependent_births,
+    dependent_totals,
     discover_levels,
     flag_of,
     group_size,
@@ -163,22 +164,14 @@ def log_measures(log: DataFrame, spec: LogSpec, levels: Sequence) -> DataFrame:
 def snapshot_features(
     snapshot: DataFrame, dependents: DataFrame, spec: PanelSpec, levels: PanelLevels
 ) -> DataFrame:
-    """Entity attributes, dependents, unit size and peer groups, one row per snapshot row."""
+    """Entity attributes, unit size and peer groups, one row per snapshot row."""
     s, d = spec.snapshot, spec.dependents
     base = snapshot.withColumn(s.month, month_start(F.col(s.month)))
-    profile = dependent_profile(
-        dependents.withColumnRenamed(d.entity, s.entity), s.entity, d.kind, d.birth, d.count
-    )
-    male = matches(F.col(s.gender), s.male_values)
-    rules = standard_rules(d.male_kinds, d.child_kinds, ~male, d.names)
-
-    rows = attach_dependents(base, profile, s.entity, s.month, rules)
-    # The weights need only the entity's dependent count, so this branch reads few columns.
-    weights = base.select(s.entity, s.month, s.unit).join(
-        profile.select(s.entity, "n_dependents"), s.entity, "left"
-    )
+    totals = dependent_totals(dependents, d.entity, d.count).withColumnRenamed(d.entity, s.entity)
+    # Group tables are aggregated from the bare snapshot, not from the joins made so far.
+    weights = base.select(s.entity, s.month, s.unit).join(totals, s.entity, "left")
     rows = group_size(
-        rows, s.entity, s.month, s.unit, "n_dependents", s.unit_size, source=weights
+        base, s.entity, s.month, s.unit, "n_dependents", s.unit_size, source=weights
     )
     for group in s.peer_groups:
         rows = peer_stats(rows, s.entity, s.month, group, s.flag, source=base)
@@ -189,12 +182,11 @@ def snapshot_features(
         F.col(s.flag).alias("_own_flag"),
         *s.categories,
         age_at(F.col(s.month), F.col(s.birth_year)).alias(s.age),
-        male.cast("int").alias(s.gender),
+        matches(F.col(s.gender), s.male_values).cast("int").alias(s.gender),
         *[c for c in s.raw if c != s.experience],
         s.experience,
         *threshold_bins(F.col(s.experience), s.experience_edges, f"{s.experience}_stage"),
         s.unit_size,
-        *d.names,
         *peer_columns(spec),
     )
     return one_hot(rows, {c: levels.snapshot[c] for c in s.categories})
@@ -238,10 +230,15 @@ def build_panel(
         *[level_column(g.category_prefix, level) for level in levels.log],
     )
     rows = snapshot_features(snapshot, dependents, spec, levels).withColumn("_in_snap", F.lit(True))
-    merged = (
-        rows.join(measures, [entity, month], "full_outer")
-        .withColumn("_idx", month_index(F.col(month)))
-        .repartition(entity)
+    merged = rows.join(measures, [entity, month], "full_outer").withColumn(
+        "_idx", month_index(F.col(month))
+    )
+
+    d = spec.dependents
+    rules = standard_rules(d.male_kinds, d.child_kinds, F.col(s.gender) == 0, d.names)
+    births = dependent_births(dependents, d.entity, d.kind, d.birth, rules, d.count)
+    merged = attach_dependents(
+        merged, births.withColumnRenamed(d.entity, entity), entity, month, rules
     )
 
     # Shift history runs over months with shifts, category history over all log months.
