@@ -162,9 +162,9 @@ def log_measures(log: DataFrame, spec: LogSpec, levels: Sequence) -> DataFrame:
 
 
 def snapshot_features(
-    snapshot: DataFrame, dependents: DataFrame, spec: PanelSpec, levels: PanelLevels
+    snapshot: DataFrame, dependents: DataFrame, spec: PanelSpec
 ) -> DataFrame:
-    """Entity attributes, unit size and peer groups, one row per snapshot row."""
+    """Raw entity attributes, unit size and peer groups, one row per snapshot row."""
     s, d = spec.snapshot, spec.dependents
     base = snapshot.withColumn(s.month, month_start(F.col(s.month)))
     totals = dependent_totals(dependents, d.entity, d.count).withColumnRenamed(d.entity, s.entity)
@@ -176,20 +176,31 @@ def snapshot_features(
     for group in s.peer_groups:
         rows = peer_stats(rows, s.entity, s.month, group, s.flag, source=base)
 
-    rows = _recoded(rows, s).select(
+    raw = [c for c in s.raw if c != s.experience]
+    return rows.select(
         s.entity,
         s.month,
         F.col(s.flag).alias("_own_flag"),
-        *s.categories,
-        age_at(F.col(s.month), F.col(s.birth_year)).alias(s.age),
-        matches(F.col(s.gender), s.male_values).cast("int").alias(s.gender),
-        *[c for c in s.raw if c != s.experience],
+        s.birth_year,
+        F.col(s.gender),
         s.experience,
-        *threshold_bins(F.col(s.experience), s.experience_edges, f"{s.experience}_stage"),
+        *[c for c in s.categories if c != s.gender],
+        *raw,
         s.unit_size,
         *peer_columns(spec),
     )
-    return one_hot(rows, {c: levels.snapshot[c] for c in s.categories})
+
+
+def encode(panel: DataFrame, spec: PanelSpec, levels: PanelLevels) -> DataFrame:
+    """Attributes as numbers. Done last: indicators would only widen the windows' rows."""
+    s = spec.snapshot
+    encoded = _recoded(panel, s).select(
+        *[c for c in panel.columns if c not in {s.birth_year, s.gender}],
+        age_at(F.col(s.month), F.col(s.birth_year)).alias(s.age),
+        matches(F.col(s.gender), s.male_values).cast("int").alias(s.gender),
+        *threshold_bins(F.col(s.experience), s.experience_edges, f"{s.experience}_stage"),
+    )
+    return one_hot(encoded, {c: levels.snapshot[c] for c in s.categories})
 
 
 def peer_columns(spec: PanelSpec) -> list[str]:
@@ -229,13 +240,14 @@ def build_panel(
         g.month_end,
         *[level_column(g.category_prefix, level) for level in levels.log],
     )
-    rows = snapshot_features(snapshot, dependents, spec, levels).withColumn("_in_snap", F.lit(True))
+    rows = snapshot_features(snapshot, dependents, spec).withColumn("_in_snap", F.lit(True))
     merged = rows.join(measures, [entity, month], "full_outer").withColumn(
         "_idx", month_index(F.col(month))
     )
 
     d = spec.dependents
-    rules = standard_rules(d.male_kinds, d.child_kinds, F.col(s.gender) == 0, d.names)
+    female = ~matches(F.col(s.gender), s.male_values)
+    rules = standard_rules(d.male_kinds, d.child_kinds, female, d.names)
     births = dependent_births(dependents, d.entity, d.kind, d.birth, rules, d.count)
     merged = attach_dependents(
         merged, births.withColumnRenamed(d.entity, entity), entity, month, rules
@@ -257,6 +269,7 @@ def build_panel(
     if spec.streak is not None:
         panel = zero_streak(panel, entity, "_idx", "_own_flag", spec.streak)
 
+    panel = encode(panel, spec, levels)
     panel = calendar_join(panel, month, calendar, spec.calendar_key)
     panel = calendar_one_hot(panel, month, levels.years)
     targets = label_columns(spec.horizons)
