@@ -89,8 +89,6 @@ def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
             "entity",
             F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("month"),
         )
-        # Few rows become many here; spread them by the key that the windows need anyway.
-        .repartition("entity")
     )
 
 

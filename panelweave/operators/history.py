@@ -133,23 +133,23 @@ def _growth(periods: Sequence[int]) -> list[list[tuple[int, int]]]:
 
 
 def _with_moments(
-    df: DataFrame, cols: Sequence[str], spec: str, periods: Sequence[int]
+    df: DataFrame,
+    cols: Sequence[str],
+    spec: str,
+    periods: Sequence[int],
+    running: dict[str, str] | None = None,
 ) -> DataFrame:
     """The moments of the last ``p`` rows for every column and period.
 
-    Each round is one window node over the same sorted partition.
+    Each round is one window node over the same sorted partition; ``running`` columns of
+    the same spec ride along in the first.
     """
+    windows = dict(running or {})
     for joins in _growth(periods):
-        lags = sorted({(far, near) for near, far in joins})
-        df = _append(
-            df,
-            {
-                name: text
-                for col in cols
-                for size, back in lags
-                for name, text in _lag(col, size, back, spec).items()
-            },
-        )
+        for size, back in sorted({(far, near) for near, far in joins}):
+            for col in cols:
+                windows |= _lag(col, size, back, spec)
+        df, windows = _append(df, windows), {}
         for near, far in joins:
             df = _append(
                 df, {name: text for col in cols for name, text in _join(col, near, far).items()}
@@ -239,7 +239,7 @@ def history_block(
         rolling |= _rolling(col, PERIODS)
         trends |= _trends(col)
 
-    moments = _with_moments(_append(rows, cumulative), cols, spec, PERIODS)
+    moments = _with_moments(rows, cols, spec, PERIODS, cumulative)
     kept = [_quoted(c) for c in [*rows.columns, *cumulative]]
     full = _append(moments.selectExpr(*kept, *_named(rolling)), trends)
     if present is None:

@@ -8,14 +8,15 @@ from pyspark.sql import SparkSession
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings; safe to apply to any session, and to apply again.
 
-    HotSpot does not compile methods beyond 8000 bytes of bytecode. A history block fuses
-    into larger ones, which would then be interpreted; below this limit Spark generates
-    many small methods instead.
+    HotSpot does not compile methods beyond 8000 bytes of bytecode. Wide projections fuse
+    into larger ones, which would then be interpreted; under these limits Spark generates
+    many small methods instead. Narrow stages keep whole-stage code.
 
     A narrow row leaves the shuffle and grows a hundredfold in the windows behind it, so
     the bytes shuffled understate the work: merge partitions far less than the defaults do.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
+    spark.conf.set("spark.sql.codegen.maxFields", "20")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1KB")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16MB")
     return spark
