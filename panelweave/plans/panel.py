@@ -194,11 +194,13 @@ def snapshot_features(
 def encode(panel: DataFrame, spec: PanelSpec, levels: PanelLevels) -> DataFrame:
     """Attributes as numbers. Done last: indicators would only widen the windows' rows."""
     s = spec.snapshot
-    encoded = _recoded(panel, s).select(
-        *[c for c in panel.columns if c not in {s.birth_year, s.gender}],
-        age_at(F.col(s.month), F.col(s.birth_year)).alias(s.age),
-        matches(F.col(s.gender), s.male_values).cast("int").alias(s.gender),
-        *threshold_bins(F.col(s.experience), s.experience_edges, f"{s.experience}_stage"),
+    bins = threshold_bins(F.col(s.experience), s.experience_edges, f"{s.experience}_stage")
+    age = age_at(F.col(s.month), F.col(s.birth_year)).alias(s.age)
+    encoded = (
+        _recoded(panel, s)
+        .select("*", age, *bins)
+        .withColumn(s.gender, matches(F.col(s.gender), s.male_values).cast("int"))
+        .drop(s.birth_year)
     )
     return one_hot(encoded, {c: levels.snapshot[c] for c in s.categories})
 
