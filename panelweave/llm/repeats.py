@@ -30,10 +30,8 @@ from pyspark.sql import functions as F
 from panelweave.llm import texts, windows
 
 #: Bytes of text in a chunk, at least and at most; larger corpora take larger chunks.
-CHUNK_BYTES = (4 << 20, 16 << 20)
+CHUNK_BYTES = (2 << 20, 8 << 20)
 CHUNKS_WANTED = 2000
-#: Chunks' worth of text whose anchors go to one bucket, on average.
-BUCKET_CHUNKS = 4
 #: An anchor with more occurrences than this is dealt out by window.
 HOT = 4096
 #: Stands for a missing id, later than all others.
@@ -320,7 +318,7 @@ def _earliest_places(how: Windowing, buckets: int):
         if not alone.all():
             mixed = np.flatnonzero(~alone)
             source = at[mixed]
-            payloads = texts.flat(table["payload"]).flatten().take(pa.array(source)).to_pylist()
+            payloads = texts.flat(table["payload"]).flatten().take(pa.array(source))
             found = how.resolver(
                 payloads, anchor[source], count[source], key[source], doc[source], start[source]
             )
@@ -471,7 +469,7 @@ def remove_repeats(docs: DataFrame, how: Windowing, doc: str = "doc_id", text: s
     ).select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(how.window), "text").alias("h2"), "text")
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunk_bytes = min(max(total // CHUNKS_WANTED, CHUNK_BYTES[0]), CHUNK_BYTES[1])
-    chunks, buckets = 1 + total // chunk_bytes, 1 + total // (BUCKET_CHUNKS * chunk_bytes)
+    chunks = buckets = 1 + total // chunk_bytes
 
     ranked = base.withColumn("doc", F.coalesce(F.col("doc").cast("long"), F.lit(LAST)))
     texts_by_chunk = ranked.mapInArrow(drop_copies, "doc long, h1 long, h2 long, text string").select(

@@ -61,6 +61,7 @@ class ReferenceBlock:
 
 def resolver(window: int):
     def resolve(payloads, anchor, count, key, doc, start):
+        payloads = payloads.to_pylist()
         segments = np.zeros(len(payloads), np.int64)
         parsed: dict[int, list[tuple[int, int, int]]] = {}
         block, current = None, None

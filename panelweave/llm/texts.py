@@ -12,7 +12,7 @@ def flat(column: pa.ChunkedArray) -> pa.Array:
 
 def text_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row, and the bounds between them. A missing text is empty."""
-    array = flat(column.cast(pa.large_string()).fill_null("")).cast(pa.large_binary())
+    array = flat(column.cast(pa.large_binary()).fill_null(b""))
     if len(array) == 0:
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = array.buffers()
