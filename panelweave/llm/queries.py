@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelweave.llm import sql
+from panelweave.llm.pii import BASE, of_kind, pii_scan
 from panelweave.llm.rlz_dedup import rlz_dedup
+from panelweave.llm.secret_scan import secret_scan, span_text
 from panelweave.llm.suffix_dedup import suffix_dedup
 
 
@@ -25,12 +28,40 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", done["n"].alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = secret_scan(_table(spark, sf_dir, "documents"))
+    found = F.col("found")
+    base = ("assign", "access", "hex")
+    return done.select(
+        "doc_id",
+        *[F.size(of_kind(found, kind)).cast("long").alias(f"n_{kind}") for kind in base],
+        F.sha2(span_text(of_kind(found, *base)).cast("binary"), 256).alias("base_sha256"),
+        span_text(found).alias("spans"),
+        F.size(F.filter(found, lambda r: r["live"])).cast("long").alias("n_live"),
+    )
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii_scan(_table(spark, sf_dir, "documents"))
+    found = F.col("found")
+    return done.select(
+        "doc_id",
+        *[F.size(of_kind(found, kind)).cast("long").alias(f"n_{kind}") for kind in BASE],
+        F.sha2(span_text(of_kind(found, *BASE)).cast("binary"), 256).alias("base_sha256"),
+        span_text(found).alias("spans"),
+        F.array_max(F.transform(found, lambda r: r["score"])).alias("top_score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
     "op1_rlz_dedup": sql.RLZ_DEDUP,
     "op4_suffix_dedup": sql.SUFFIX_DEDUP,
+    "op9_secret_scan": sql.SECRET_SCAN,
 }

@@ -62,3 +62,55 @@ SELECT d.doc_id, len(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesc
   sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
+
+SECRET_SCAN = r"""
+WITH k(kind, pattern, least, special) AS (VALUES
+  (0, '(?i)(password|passwd|secret|token|api_?key)["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)', 12, false),
+  (1, 'AKIA[A-Z0-9]+', 18, false),
+  (2, '[0-9a-f]{16,}', 16, false),
+  (3, '[A-Za-z0-9+/_-]{24,}', 24, true)
+),
+a AS (
+  SELECT doc_id, source, kind, least, special, pattern,
+    regexp_extract_all(coalesce(text, ''), pattern, 0) AS m,
+    string_split_regex(coalesce(text, ''), pattern) AS g
+  FROM documents, k
+),
+b AS (
+  SELECT doc_id, source, kind, least, special, pattern, i, m[i] AS match, length(g[i]) + length(m[i]) AS step
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM a)
+),
+c AS (
+  SELECT *, sum(step) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop,
+    CASE WHEN kind = 0 THEN regexp_extract(match, pattern, 2) ELSE match END AS value
+  FROM b
+),
+d AS (
+  SELECT doc_id, source, kind, special, stop - length(match) AS start, stop, value FROM c
+  WHERE length(value) >= least AND (NOT special OR
+    (regexp_matches(match, '[A-Z]') AND regexp_matches(match, '[a-z]') AND regexp_matches(match, '[0-9]')))
+),
+e AS (
+  SELECT * FROM d WHERE NOT special OR NOT EXISTS (
+    SELECT 1 FROM d o WHERE o.doc_id = d.doc_id AND NOT o.special AND o.start < d.stop AND d.start < o.stop)
+),
+f AS (
+  SELECT value, count(*) AS owners
+  FROM (SELECT DISTINCT value, source FROM e) GROUP BY value
+),
+h AS (
+  SELECT doc_id, kind, start, owners,
+    (['assign', 'access', 'hex', 'blob'])[kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS span
+  FROM e JOIN f ON e.value = f.value WHERE NOT special OR owners = 1
+),
+s AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+    count(*) FILTER (WHERE kind = 2) AS n_hex, count(*) FILTER (WHERE owners < 3) AS n_live,
+    string_agg(span, ',' ORDER BY start, kind) AS spans,
+    string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base
+  FROM h GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
