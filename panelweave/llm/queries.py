@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm import sql
+from panelweave.llm.decontaminate import decontaminate
 from panelweave.llm.pii import BASE, of_kind, pii_scan
 from panelweave.llm.rlz_dedup import rlz_dedup
 from panelweave.llm.secret_scan import secret_scan, span_text
@@ -28,6 +29,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", done["n"].alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", "item_id", "n_words")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = secret_scan(_table(spark, sf_dir, "documents"))
     found = F.col("found")
@@ -56,6 +62,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii": op10_pii,
 }

@@ -19,7 +19,13 @@ BATCH = 1 << 18
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-_SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_BYTES = np.arange(256)
+SPACES = np.isin(_BYTES, [32, 9, 10, 11, 12, 13])
+_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+_LETTERS = ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
+#: All that is no lower-case letter; all that is neither such a letter nor a digit.
+NO_LETTER = ~_LETTERS
+NO_SIGN = ~(_LETTERS | ((_BYTES >= 48) & (_BYTES <= 57)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,11 +65,21 @@ def inverse_powers(n: int) -> np.ndarray:
     return _power_table(pow(_BASE, -1, 1 << 64), n, _known)[:n]
 
 
-def word_symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word (bytes but space and 09-0D) of UTF-8 texts between ``bounds``."""
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Letters A to Z and the capitals of Latin-1 in lower case."""
+    out = _LOWER[data]
+    capital = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)
+    out[1:][capital] += 0x20
+    return out
+
+
+def word_symbols(
+    data: np.ndarray, bounds: np.ndarray, spaces: np.ndarray = SPACES
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word (a run of bytes that are no ``spaces``) of the texts between ``bounds``."""
     if len(data) == 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    inside = ~_SPACES[data]
+    inside = ~spaces[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = bounds[:-1][bounds[:-1] < len(data)]
