@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelweave.llm import sql
 from panelweave.llm.decontaminate import decontaminate
+from panelweave.llm.jaccard_join import jaccard_join
 from panelweave.llm.pii import BASE, of_kind, pii_scan
 from panelweave.llm.rlz_dedup import rlz_dedup
 from panelweave.llm.secret_scan import secret_scan, span_text
@@ -34,6 +35,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "item_id", "n_words")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = secret_scan(_table(spark, sf_dir, "documents"))
     found = F.col("found")
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii": op10_pii,
 }
@@ -70,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_rlz_dedup": sql.RLZ_DEDUP,
     "op4_suffix_dedup": sql.SUFFIX_DEDUP,
+    "op7_jaccard_join": sql.JACCARD_JOIN,
     "op9_secret_scan": sql.SECRET_SCAN,
 }

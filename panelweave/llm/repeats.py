@@ -200,7 +200,7 @@ def _anchor_prints(how: Windowing, buckets: int):
     return prints
 
 
-def _repeated_prints(hot: int):
+def repeated_prints(hot: int):
     def repeated(table: pa.Table) -> pa.Table:
         prints = texts.list_items(table["prints"], np.int32).view(np.uint32)
         sizes = texts.list_sizes(table["prints"])
@@ -461,23 +461,27 @@ _PIECES_SCHEMA = _arrow_schema(_PIECES)
 _RESULTS_SCHEMA = _arrow_schema(_RESULTS)
 
 
-def remove_repeats(docs: DataFrame, how: Windowing, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: size, what was removed, spans, and the digest of what is kept."""
+def chunked(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame, int]:
+    """All rows by id and text hash, the distinct texts by chunk, and the number of chunks."""
     base = docs.select(
         F.col(doc).alias("doc"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
-    ).select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(how.window), "text").alias("h2"), "text")
+    ).select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunk_bytes = min(max(total // CHUNKS_WANTED, CHUNK_BYTES[0]), CHUNK_BYTES[1])
-    chunks = buckets = 1 + total // chunk_bytes
-
+    chunks = 1 + total // min(max(total // CHUNKS_WANTED, CHUNK_BYTES[0]), CHUNK_BYTES[1])
     ranked = base.withColumn("doc", F.coalesce(F.col("doc").cast("long"), F.lit(LAST)))
-    texts_by_chunk = ranked.mapInArrow(drop_copies, "doc long, h1 long, h2 long, text string").select(
+    distinct = ranked.mapInArrow(drop_copies, "doc long, h1 long, h2 long, text string").select(
         F.pmod("h1", F.lit(chunks)).alias("chunk"), "doc", "h1", "h2", "text"
     )
-    by_chunk = texts_by_chunk.groupBy("chunk")
+    return base.select("doc", "h1", "h2"), distinct, chunks
+
+
+def remove_repeats(docs: DataFrame, how: Windowing, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: size, what was removed, spans, and the digest of what is kept."""
+    base, distinct, buckets = chunked(docs, doc, text)
+    by_chunk = distinct.groupBy("chunk")
     prints = by_chunk.applyInArrow(_anchor_prints(how, buckets), _PRINTS)
-    answers = prints.groupBy("bucket").applyInArrow(_repeated_prints(HOT), _CANDIDATES)
+    answers = prints.groupBy("bucket").applyInArrow(repeated_prints(HOT), _CANDIDATES)
     pieces = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_candidate_pieces(how, buckets), _PIECES)
     places = pieces.groupBy("bucket").applyInArrow(_earliest_places(how, buckets), _PLACES)
     results = by_chunk.cogroup(places.groupBy("chunk")).applyInArrow(_cut_texts(how, buckets), _RESULTS)
@@ -490,7 +494,7 @@ def remove_repeats(docs: DataFrame, how: Windowing, doc: str = "doc_id", text: s
         return F.when(copy, of_copy).otherwise(F.col(column)).alias(column)
 
     kept = [told("kept", F.lit(""))] if how.keep_text else []
-    return base.select("doc", "h1", "h2").join(results, ["h1", "h2"]).select(
+    return base.join(results, ["h1", "h2"]).select(
         F.col("doc").alias(doc),
         "n",
         told("n_removed", F.col("n")),

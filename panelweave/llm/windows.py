@@ -21,7 +21,7 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _BYTES = np.arange(256)
 SPACES = np.isin(_BYTES, [32, 9, 10, 11, 12, 13])
-_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+ASCII_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 _LETTERS = ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
 #: All that is no lower-case letter; all that is neither such a letter nor a digit.
 NO_LETTER = ~_LETTERS
@@ -67,7 +67,7 @@ def inverse_powers(n: int) -> np.ndarray:
 
 def lowered(data: np.ndarray) -> np.ndarray:
     """Letters A to Z and the capitals of Latin-1 in lower case."""
-    out = _LOWER[data]
+    out = ASCII_LOWER[data]
     capital = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)
     out[1:][capital] += 0x20
     return out
