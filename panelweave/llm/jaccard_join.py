@@ -190,54 +190,79 @@ _GROUPS = "bucket long, hub long, part long, doc long, asks boolean, tokens arra
 _LINKS = "hub long, part long, a long, b long"
 
 
-def _links(percent: int):
-    """Links inside each part of a group.
+class Part:
+    """Sets that one task compares."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+        self.sets, self.percent = sets, percent
+        self._fill(list(range(len(sets))))
+
+    def _fill(self, numbers: list[int]) -> None:
+        self.index, self.numbers = OverlapIndex([self.sets[i] for i in numbers]), numbers
+
+    def ask(self, tokens: np.ndarray) -> list[int]:
+        """Indexed sets that are similar enough."""
+        size, percent = len(tokens), self.percent
+        found = self.index.search(tokens, -(-percent * size // 100))
+        return [
+            self.numbers[i] for i, n in found if 100 * n >= percent * (size + self.index.sizes[i] - n)
+        ]
+
+    def connected(self) -> list[int]:
+        """For each set the first one that links lead to.
+
+        Whoever was reached asks for those that nobody reached so far. They get fewer all the
+        time, and the lists are made anew without the others whenever half of them are gone.
+        """
+        root = [-1] * len(self.sets)
+        free = len(root)
+        for seed in range(len(root)):
+            if root[seed] >= 0:
+                continue
+            root[seed], free, waiting = seed, free - 1, [seed]
+            while waiting and free:
+                for other in self.ask(self.sets[waiting.pop()]):
+                    if root[other] < 0:
+                        root[other], free = seed, free - 1
+                        waiting.append(other)
+                if 2 * free < len(self.numbers):
+                    self._fill([i for i in self.numbers if root[i] < 0])
+        return root
 
-    The hub asks first; whoever it links to is connected through it. The rest, and documents sent
-    as questions from other parts, ask the part's lists one by one. With the links come the ones
-    that are left (``b`` is null): in a group of several parts they must ask the other parts too.
-    """
 
-    def close(a: int, b: int, overlap: int) -> bool:
-        return 100 * overlap >= percent * (a + b - overlap)
+def _links(percent: int):
+    """Links that connect the documents of each part of a group.
 
-    def ask(index: OverlapIndex, members: list[int], doc: int, tokens: list[int]) -> list[int]:
-        found = index.search(tokens, -(-percent * len(tokens) // 100))
-        return [members[i] for i, n in found if members[i] != doc and close(len(tokens), index.sizes[i], n)]
+    Where a part gets no questions, its documents are connected among themselves, from the hub on;
+    the ones that the hub does not reach come back with ``b`` null, for in a group of several
+    parts they must ask the other parts. Those questions are answered by the whole part.
+    """
 
     def links(table: pa.Table) -> pa.Table:
         hubs, parts, docs = (texts.numbers(table[c]) for c in ("hub", "part", "doc"))
         asks = texts.numbers(table["asks"], bool)
         bounds = np.concatenate(([0], np.cumsum(texts.list_sizes(table["tokens"]))))
         tokens = texts.list_items(table["tokens"])
-        order = np.lexsort((docs, parts, hubs))
-        cuts = texts.runs(hubs[order])
+        order = np.lexsort((docs, asks, parts, hubs))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(hubs[order]) != 0) | (np.diff(parts[order]) != 0)
+        cuts = np.append(np.flatnonzero(new), len(order))
         out: list[tuple] = []
-
-        def set_of(row: int) -> list[int]:
-            return tokens[bounds[row] : bounds[row + 1]].tolist()
-
-        for low, high in zip(cuts[:-1], cuts[1:]):
-            rows = order[low:high]
-            inner = texts.runs(parts[rows])
-            for begin, end in zip(inner[:-1], inner[1:]):
-                group = rows[begin:end]
-                hub, part = int(hubs[group[0]]), int(parts[group[0]])
-                index, members = OverlapIndex(), []
-                for row in group[~asks[group]].tolist():
-                    index.add(set_of(row))
-                    members.append(int(docs[row]))
-                questions = group[asks[group]].tolist()
-                linked: set[int] = set()
-                if not questions and hub in members:
-                    own = int(group[members.index(hub)])
-                    linked = {hub, *ask(index, members, hub, set_of(own))}
-                    out += [(hub, part, doc, hub) for doc in linked if doc != hub]
-                    questions = [row for row in group.tolist() if int(docs[row]) not in linked]
-                    out += [(hub, part, int(docs[row]), None) for row in questions]
-                for row in questions:
-                    doc = int(docs[row])
-                    out += [(hub, part, doc, other) for other in ask(index, members, doc, set_of(row))]
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            rows = order[low:high].tolist()
+            hub, part = int(hubs[rows[0]]), int(parts[rows[0]])
+            questions = [row for row in rows if asks[row]]
+            members = [row for row in rows if not asks[row]]
+            group = Part([tokens[bounds[row] : bounds[row + 1]] for row in members], percent)
+            ids = [int(docs[row]) for row in members]
+            for row in questions:
+                out += [(hub, part, int(docs[row]), ids[i]) for i in group.ask(tokens[bounds[row] : bounds[row + 1]])]
+            if not questions:
+                for i, root in enumerate(group.connected()):
+                    if root != i:
+                        out.append((hub, part, ids[i], ids[root]))
+                    if ids[root] != hub:
+                        out.append((hub, part, ids[i], None))
         columns = list(zip(*out)) or [()] * 4
         return pa.table(dict(zip(("hub", "part", "a", "b"), (pa.array(c, pa.int64()) for c in columns))))
 
@@ -283,7 +308,7 @@ def jaccard_links(sets: DataFrame, probes: DataFrame, percent: int) -> DataFrame
 
     found = stage(bucketed(members, False).groupBy("bucket").applyInArrow(_links(percent), _LINKS), "links")
     edges = found.where("b is not null").select("a", "b")
-    # Documents that a split group's hub does not link ask the group's other parts.
+    # Documents that a split group's hub does not reach ask the group's other parts.
     left = found.where("b is null").select("hub", F.col("part").alias("own"), F.col("a").alias("doc"))
     split = members.where("parts > 1").join(left.select("hub").distinct(), "hub", "left_semi")
     if split.limit(1).count():

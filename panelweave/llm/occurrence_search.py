@@ -3,37 +3,44 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterable
+from collections.abc import Sequence
 from heapq import heapify, heappop, heappush
 from math import log2
 
+import numpy as np
+
 #: Weight of a probe against a step of the merge; balances how many lists are only probed.
 PROBE_COST = 0.0085
 
 
 class OverlapIndex:
-    """Inverted lists over sets of tokens. Sets are numbered in the order in which they come."""
+    """Inverted lists over sets of distinct tokens, numbered in the order in which they come."""
 
-    def __init__(self) -> None:
-        self.lists: dict[int, list[int]] = {}
-        self.sizes: list[int] = []
+    def __init__(self, sets: Sequence[np.ndarray]) -> None:
+        self.sizes = [len(s) for s in sets]
+        tokens = np.concatenate(sets) if sets else np.empty(0, np.int64)
+        order = np.argsort(tokens, kind="stable")
+        self.members = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        self.tokens, heads = np.unique(tokens[order], return_index=True)
+        self.heads = np.append(heads, len(tokens))
 
-    def add(self, tokens: Iterable[int]) -> int:
-        number, size = len(self.sizes), 0
-        for token in tokens:
-            self.lists.setdefault(token, []).append(number)
-            size += 1
-        self.sizes.append(size)
-        return number
+    def lists(self, tokens: np.ndarray) -> list[list[int]]:
+        """The lists of the tokens that have one, shortest first."""
+        at = np.searchsorted(self.tokens, tokens)
+        at = at[at < len(self.tokens)] if len(self.tokens) else at[:0]
+        at = at[np.isin(self.tokens[at], tokens)]
+        at = np.unique(at)
+        sizes = self.heads[at + 1] - self.heads[at]
+        return [self.members[self.heads[i] : self.heads[i + 1]].tolist() for i in at[np.argsort(sizes, kind="stable")]]
 
-    def search(self, tokens: Iterable[int], least: int) -> list[tuple[int, int]]:
+    def search(self, tokens: np.ndarray, least: int) -> list[tuple[int, int]]:
         """(number, overlap) of every set that shares ``least`` tokens or more with the given ones.
 
         The longest lists are put aside. Whoever is in ``least`` lists is in ``least`` minus that
         many of the short ones; these are merged on a heap, which jumps over numbers that cannot
         get there, and only the survivors are looked up in the long lists by halving.
         """
-        lists = sorted((x for x in map(self.lists.get, tokens) if x), key=len)
+        lists = self.lists(tokens)
         if len(lists) < least:
             return []
         aside = min(least - 1, int(least / (PROBE_COST * log2(len(lists[-1]) + 1) + 1)))
