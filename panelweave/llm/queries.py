@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelweave.llm import sql
 from panelweave.llm.decontaminate import decontaminate
 from panelweave.llm.jaccard_join import jaccard_join
+from panelweave.llm.language_id import held_out, language_id
 from panelweave.llm.pii import BASE, of_kind, pii_scan
 from panelweave.llm.rlz_dedup import rlz_dedup
 from panelweave.llm.secret_scan import secret_scan, span_text
@@ -25,6 +26,11 @@ def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", done["n"].alias("n_words"), "n_removed", "kept_sha256")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = language_id(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", done["n"].alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
@@ -66,6 +72,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rlz_dedup": op1_rlz_dedup,
+    "op2_language_id": op2_language_id,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_jaccard_join": op7_jaccard_join,
