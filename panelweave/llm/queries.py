@@ -11,10 +11,12 @@ from panelweave.llm import sql
 from panelweave.llm.decontaminate import decontaminate
 from panelweave.llm.jaccard_join import jaccard_join
 from panelweave.llm.language_id import held_out, language_id
+from panelweave.llm.mix_sources import mix_plan
 from panelweave.llm.pii import BASE, of_kind, pii_scan
 from panelweave.llm.rlz_dedup import rlz_dedup
 from panelweave.llm.secret_scan import secret_scan, span_text
 from panelweave.llm.suffix_dedup import suffix_dedup
+from panelweave.llm.url_filter import url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", done["n"].alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
@@ -45,6 +51,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = secret_scan(_table(spark, sf_dir, "documents"))
     found = F.col("found")
@@ -73,9 +84,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op2_language_id": op2_language_id,
+    "op3_url_filter": op3_url_filter,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii": op10_pii,
 }
@@ -84,5 +97,6 @@ ORACLES: dict[str, str] = {
     "op1_rlz_dedup": sql.RLZ_DEDUP,
     "op4_suffix_dedup": sql.SUFFIX_DEDUP,
     "op7_jaccard_join": sql.JACCARD_JOIN,
+    "op8_mix_sources": sql.MIX_SOURCES,
     "op9_secret_scan": sql.SECRET_SCAN,
 }

@@ -141,3 +141,76 @@ r(doc_id, root) AS (
 SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.root) AS component_id
 FROM d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+MIX_SOURCES = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+),
+w AS (
+  SELECT source, sum(size)::BIGINT AS words, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM d GROUP BY source
+),
+p AS (
+  SELECT *, words / weight AS ratio, (1.5::DOUBLE * (sum(words) OVER ()) - coalesce(sum(words * 2) OVER (
+      ORDER BY words / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY words / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pace
+  FROM w
+),
+t AS (
+  SELECT source, words, least((words * 2)::DOUBLE,
+    coalesce((SELECT arg_min(pace, ratio) FROM p WHERE pace <= words * 2 / weight), 'inf'::DOUBLE) * weight) AS target
+  FROM p
+),
+g AS (
+  SELECT *, CASE WHEN words > 0 THEN floor(target / words) ELSE 0 END::BIGINT AS whole,
+    greatest(1, ceil(words / 50000))::BIGINT AS blocks FROM t
+),
+k AS (
+  SELECT d.doc_id, d.source, size, words, target, whole, target - whole * words AS rest,
+    ('0x' || substr(md5('17|' || doc_id || '|' || size), 1, 8))::BIGINT AS key,
+    ('0x' || substr(md5('18|' || doc_id || '|' || size), 1, 8))::BIGINT % blocks AS block
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+),
+b AS (SELECT source, block, rest, sum(size) AS held FROM k GROUP BY source, block, rest),
+u AS (
+  SELECT *, sum(held) OVER (PARTITION BY source ORDER BY
+    ('0x' || substr(md5('19|' || coalesce(source, '~') || '|' || block), 1, 8))::BIGINT, block) AS upto FROM b
+),
+q AS (
+  SELECT k.*, upto <= k.rest AS inside,
+    CASE WHEN upto > k.rest AND upto - held <= k.rest THEN k.rest - upto + held END AS room
+  FROM k JOIN u ON k.source IS NOT DISTINCT FROM u.source AND k.block = u.block
+),
+e0 AS (SELECT *, room AS gap, false AS extra FROM q WHERE room IS NOT NULL AND size > 0),
+f1 AS (
+  SELECT *, NOT extra AND size <= gap AND sum(CASE WHEN NOT extra AND size <= gap THEN size END)
+    OVER (PARTITION BY source ORDER BY key, doc_id) <= gap AS fits FROM e0
+),
+e1 AS (
+  SELECT * EXCLUDE (gap, extra, fits), extra OR fits AS extra,
+    gap - coalesce(sum(CASE WHEN fits THEN size END) OVER (PARTITION BY source), 0) AS gap FROM f1
+),
+f2 AS (
+  SELECT *, NOT extra AND size <= gap AND sum(CASE WHEN NOT extra AND size <= gap THEN size END)
+    OVER (PARTITION BY source ORDER BY key, doc_id) <= gap AS fits FROM e1
+),
+e2 AS (
+  SELECT * EXCLUDE (gap, extra, fits), extra OR fits AS extra,
+    gap - coalesce(sum(CASE WHEN fits THEN size END) OVER (PARTITION BY source), 0) AS gap FROM f2
+),
+f3 AS (
+  SELECT *, NOT extra AND size <= gap AND sum(CASE WHEN NOT extra AND size <= gap THEN size END)
+    OVER (PARTITION BY source ORDER BY key, doc_id) <= gap AS fits FROM e2
+),
+e3 AS (
+  SELECT * EXCLUDE (gap, extra, fits), extra OR fits AS extra,
+    gap - coalesce(sum(CASE WHEN fits THEN size END) OVER (PARTITION BY source), 0) AS gap FROM f3
+),
+x AS (
+  SELECT doc_id, extra OR (row_number() OVER (PARTITION BY source ORDER BY extra, abs(size - gap), key, doc_id) = 1
+    AND abs(size - gap) < gap) AS extra FROM e3
+)
+SELECT q.doc_id, size, words AS source_size, target,
+  CASE WHEN size > 0 THEN size * (whole + (inside OR coalesce(extra, false))::BIGINT) ELSE 0 END::BIGINT AS taken
+FROM q LEFT JOIN x ON q.doc_id = x.doc_id
+"""
