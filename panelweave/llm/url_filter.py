@@ -43,8 +43,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 FEATURES = (
     "f_length", "f_host", "f_path", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_hyphens",
-    "f_secure", "f_fragment", "f_suffix_share", "f_suffix_blocked", "f_site_share", "f_site_blocked",
-    "f_section_share", "f_section_blocked",
+    "f_secure", "f_fragment", "f_suffix_blocked", "f_site_blocked", "f_section_blocked",
 )
 
 
@@ -97,11 +96,10 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     return {name: F.coalesce(value.cast("double"), F.lit(0.0)) for name, value in values.items()}
 
 
-def _statistics(shaped: DataFrame, name: str, label: Column, usual: float, total: int) -> DataFrame:
-    """For every suffix: its share of all URLs, and how often rules block it, pulled to the usual rate."""
+def _statistics(shaped: DataFrame, name: str, label: Column, usual: float) -> DataFrame:
+    """How often rules block a suffix, pulled to the usual rate where they judge few of its URLs."""
     rate = (F.coalesce(F.sum(label), F.lit(0.0)) + SMOOTHING * usual) / (F.count(label) + SMOOTHING)
-    share = F.count(F.lit(1)) / F.lit(float(max(total, 1)))
-    return shaped.groupBy(name).agg(share.alias(f"f_{name}_share"), rate.alias(f"f_{name}_blocked"))
+    return shaped.groupBy(name).agg(rate.alias(f"f_{name}_blocked"))
 
 
 def url_filter(
@@ -142,10 +140,10 @@ def url_filter(
         "urls",
     )
     label = (F.col("told") == "block").cast("double")
-    known = shaped.agg(F.count("told"), F.min("told"), F.max("told"), F.avg(label), F.count(F.lit(1))).first()
+    known = shaped.agg(F.count("told"), F.min("told"), F.max("told"), F.avg(label)).first()
     full = shaped.withColumn("label", label)
     for name in ("suffix", "site", "section"):
-        full = full.join(_statistics(shaped, name, label, known[3] or 0.0, known[4]), name)
+        full = full.join(_statistics(shaped, name, label, known[3] or 0.0), name)
 
     plain = full.select("page", "host", "path", "rule", "told")
     if known[0] == 0 or known[1] == known[2]:
