@@ -226,9 +226,14 @@ def train(labelled: DataFrame, path: str = VOCABULARY, sample_rows: int = SAMPLE
     key. Their words are counted by Spark; distinct words and counts are what reaches the driver.
     """
     known = labelled.where("text is not null and lang is not null")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    # A model has a column for each language, so a count of each language is no more than it is.
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     chance = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    likely = known.join(sizes, "lang").where(chance * F.col("_n") < 1.5 * sample_rows + 10)
+    rate = F.lit(0.0)
+    if sizes:
+        rates = [F.lit(x) for name, n in sizes.items() for x in (name, (1.5 * sample_rows + 10) / n)]
+        rate = F.element_at(F.create_map(*rates), F.col("lang"))
+    likely = known.where(chance < rate)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
     sample = likely.withColumn("_nth", nth).where(F.col("_nth") <= sample_rows).select("lang", "text")
     counts = (

@@ -13,6 +13,8 @@ import numpy as np
 PROBE_COST = 0.0085
 #: Items up to which short lists are merged on a heap.
 HEAP_ITEMS = 1024
+#: Survivors up to which each is looked up by itself.
+FEW = 8
 
 
 class OverlapIndex:
@@ -48,6 +50,8 @@ class OverlapIndex:
         aside = min(least - 1, int(least / (PROBE_COST * log2(len(lists[-1]) + 1) + 1)))
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
         numbers, counts = merged(short, least - aside)
+        if len(numbers) <= FEW:
+            return probed(numbers.tolist(), counts.tolist(), long, least)
         for i, x in enumerate(long):
             hopeful = counts + (len(long) - i) >= least
             numbers, counts = numbers[hopeful], counts[hopeful]
@@ -60,6 +64,21 @@ class OverlapIndex:
         return list(zip(numbers[done].tolist(), counts[done].tolist()))
 
 
+def probed(numbers: list[int], counts: list[int], long: list[np.ndarray], least: int) -> list[tuple[int, int]]:
+    """The same for few survivors, one by one."""
+    lists = [x.tolist() for x in long] if numbers else []
+    out = []
+    for number, count in zip(numbers, counts):
+        for i, x in enumerate(lists):
+            if count + len(lists) - i < least:
+                break
+            place = bisect_left(x, number)
+            count += place < len(x) and x[place] == number
+        if count >= least:
+            out.append((number, count))
+    return out
+
+
 def merged(lists: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers that are in ``need`` lists or more, ascending, with how many lists hold them.
 

@@ -16,6 +16,7 @@ from panelweave.llm.pii import BASE, of_kind, pii_scan
 from panelweave.llm.rlz_dedup import rlz_dedup
 from panelweave.llm.secret_scan import secret_scan, span_text
 from panelweave.llm.suffix_dedup import suffix_dedup
+from panelweave.llm.topk_search import topk_search
 from panelweave.llm.url_filter import url_filter
 
 
@@ -42,6 +43,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", done["n"].alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return done.select("doc_id", "item_id", "n_words")
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_topk_search": op5_topk_search,
     "op6_decontaminate": op6_decontaminate,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_mix_sources": op8_mix_sources,
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_rlz_dedup": sql.RLZ_DEDUP,
     "op4_suffix_dedup": sql.SUFFIX_DEDUP,
+    "op5_topk_search": sql.TOPK_SEARCH,
     "op7_jaccard_join": sql.JACCARD_JOIN,
     "op8_mix_sources": sql.MIX_SOURCES,
     "op9_secret_scan": sql.SECRET_SCAN,
