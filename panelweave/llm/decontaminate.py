@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from panelweave.llm import texts, windows
 
@@ -110,15 +112,31 @@ class SeedIndex:
         return out
 
 
+def _found(index: SeedIndex, column: pa.Array) -> Iterator[tuple[int, dict[tuple[int, int], list[np.ndarray]]]]:
+    """Overlaps of some texts at a time, and the row of the first of them."""
+    data, ends = texts.text_bytes(pa.chunked_array([column]))
+    for low, high in windows.batches(np.diff(ends)):
+        symbols, bounds = words_of(data[ends[low] : ends[high]], ends[low : high + 1] - ends[low])
+        yield low, index.overlaps(symbols, bounds)
+
+
+def _cleaner(index: SeedIndex, text: str):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = np.ones(batch.num_rows, bool)
+            for low, found in _found(index, batch[text]):
+                kept[[low + d for d, _ in found]] = False
+            yield batch.filter(pa.array(kept))
+
+    return clean
+
+
 def _scanner(index: SeedIndex, kinds: pa.Schema):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, ends = texts.text_bytes(pa.chunked_array([batch["_text"]]))
             rows, items, sizes, begins, stops = [], [], [], [], []
-            for low, high in windows.batches(np.diff(ends)):
-                part = ends[low : high + 1] - ends[low]
-                symbols, bounds = words_of(data[ends[low] : ends[high]], part)
-                for (d, item), found in sorted(index.overlaps(symbols, bounds).items()):
+            for low, overlaps in _found(index, batch["_text"]):
+                for (d, item), found in sorted(overlaps.items()):
                     words = np.unique(np.concatenate(found))
                     cuts = np.flatnonzero(np.diff(words) > 1)
                     rows.append(low + d)
@@ -156,34 +174,43 @@ def decontaminate(
     and items with missing ids keep them; repeated rows are reported each (repeated items too).
     An empty table on either side gives an empty result; other columns are ignored.
     """
-    items = benchmark.select(F.col(item).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     picked = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
-    doc_kind, item_kind = picked.schema["_doc"].dataType, items.schema["item"].dataType
-    ddl = (
-        f"_doc {doc_kind.simpleString()}, item {item_kind.simpleString()}, n_words long, "
-        "span_starts array<long>, span_ends array<long>"
-    )
-    kinds = pa.schema(
+    item_kind = benchmark.schema[item].dataType
+    kinds = StructType(
         [
-            ("_doc", _arrow(doc_kind)),
-            ("item", _arrow(item_kind)),
-            ("n_words", pa.int64()),
-            ("span_starts", pa.list_(pa.int64())),
-            ("span_ends", pa.list_(pa.int64())),
+            StructField("_doc", picked.schema["_doc"].dataType),
+            StructField("item", item_kind),
+            StructField("n_words", LongType()),
+            StructField("span_starts", ArrayType(LongType())),
+            StructField("span_ends", ArrayType(LongType())),
         ]
     )
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total // block_bytes
     result = None
-    for number in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number).collect()
-        index = SeedIndex([r["item"] for r in block], [r["text"] for r in block], least_words)
-        part = picked.mapInArrow(_scanner(index, kinds), ddl)
+    for index in _indexes(benchmark, item, item_text, least_words, block_bytes):
+        part = picked.mapInArrow(_scanner(index, to_arrow_schema(kinds)), kinds)
         result = part if result is None else result.unionByName(part)
     return result.withColumnsRenamed({"_doc": doc, "item": item})
 
 
-def _arrow(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
+def clean_documents(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    least_words: int = LEAST_WORDS,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` that overlap no benchmark item (see ``decontaminate``), all columns kept."""
+    for index in _indexes(benchmark, item, item_text, least_words, block_bytes):
+        docs = docs.mapInArrow(_cleaner(index, text), docs.schema)
+    return docs
+
 
-    return to_arrow_type(kind)
+def _indexes(benchmark: DataFrame, item: str, item_text: str, least_words: int, block_bytes: int) -> Iterator[SeedIndex]:
+    items = benchmark.select(F.col(item).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = 1 + total // block_bytes
+    for number in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number).collect()
+        yield SeedIndex([r["item"] for r in block], [r["text"] for r in block], least_words)

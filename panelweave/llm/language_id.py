@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from panelweave.llm import texts, windows
 
@@ -300,5 +301,11 @@ def language_id(
         F.col(text).alias("_text"),
         F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"),
     )
-    kind = picked.schema["_doc"].dataType.simpleString()
-    return picked.mapInArrow(_predict(model), f"_doc {kind}, lang_pred string, score double").withColumnRenamed("_doc", doc)
+    kinds = StructType(
+        [
+            StructField("_doc", picked.schema["_doc"].dataType),
+            StructField("lang_pred", StringType()),
+            StructField("score", DoubleType()),
+        ]
+    )
+    return picked.mapInArrow(_predict(model), kinds).withColumnRenamed("_doc", doc)

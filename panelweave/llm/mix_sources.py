@@ -80,6 +80,7 @@ def mix_plan(
     repeats: int = REPEATS,
     block_words: int = BLOCK_WORDS,
     seed: int = SEED,
+    row: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: its ``size`` in words, its source's ``source_size`` and ``target``,
     how often it is taken (``copies``) and how many words that makes (``taken``).
@@ -89,13 +90,18 @@ def mix_plan(
     of that one documents that fit follow in such an order, and at last the one that comes
     closest to the target. Blocks depend on ids alone, so reruns agree; rows with one id and size share a block.
 
+    ``row`` names a column that numbers the rows; without it they are numbered here.
+
     A missing text has no words; rows without words are never taken. Missing sources are one
     source, the last. An empty table gives an empty result.
     """
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     rows = stage(
         docs.select(
-            F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc"), F.col(source).alias("source"), words.alias("size")
+            (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
+            F.col(doc).alias("doc"),
+            F.col(source).alias("source"),
+            words.alias("size"),
         ),
         "sizes",
     )
@@ -152,6 +158,7 @@ def mix_plan(
         "size",
         F.col("words").alias("source_size"),
         "target",
+        "key",
         "block",
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
@@ -190,7 +197,7 @@ def deal(plan: DataFrame, shard_words: int = SHARD_WORDS, seed: int = SEED) -> D
         & (taken["block"] == sharded["_block"])
         & (taken["copy"] == sharded["_copy"]),
     )
-    within = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "row", "copy"), "row", "copy")
+    within = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "key", "copy"), "row", "copy")
     return out.select("row", "copy", "shard", F.row_number().over(within).cast("long").alias("place"))
 
 
@@ -201,9 +208,7 @@ def mix_sources(docs: DataFrame, shard_words: int = SHARD_WORDS, **options) -> D
     the same rows whatever is recomputed. See ``mix_plan`` for the options and the cases.
     """
     numbered = stage(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
-    options = {"doc": "doc_id", "text": "text", "source": "source"} | options
-    plan = mix_plan(numbered.select("_mix_row", options["text"], options["source"]), **(options | {"doc": "_mix_row"}))
-    plan = stage(plan, "mix-plan")
-    dealt = deal(plan, shard_words).join(plan.select("row", "_mix_row"), "row").drop("row")
+    plan = stage(mix_plan(numbered, row="_mix_row", **options), "mix-plan")
+    dealt = deal(plan, shard_words)
     names = [c for c in docs.columns if c not in ("copy", "shard", "place")]
-    return numbered.join(dealt, "_mix_row").select(*names, "copy", "shard", "place")
+    return numbered.join(dealt, numbered["_mix_row"] == dealt["row"]).select(*names, "copy", "shard", "place")
