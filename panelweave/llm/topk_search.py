@@ -15,8 +15,10 @@ from panelweave.sources import stage
 K = 5
 #: Rows from which centres of cells are chosen, and the most cells.
 SAMPLE_ROWS, CELLS = 1000, 256
-#: Rows of a cell that one task searches, and rows of a leaf.
-BLOCK, LEAF = 4096, 48
+#: Rows of a cell, and queries, that one task searches together.
+BLOCK, ASKED = 4096, 8192
+#: Rows of a leaf. Where halving the radius leaves less than ``FEW`` rows a child, a node stays a leaf too.
+LEAF, FEW = 256, 16
 NONE = -(2**63)
 
 
@@ -33,17 +35,18 @@ class CoverTree:
         self.children: list[CoverTree] = []
         if len(members) <= LEAF or self.radius == 0:
             return
-        left = members
-        nearest = center
-        while len(left):
+        left, nearest, parts = members, center, []
+        while len(left) and len(parts) <= len(members) // FEW:
             # The next centre takes all that is left within half the radius.
             away = rows[left] - rows[nearest].astype(float)
             near = np.einsum("ij,ij->i", away, away) <= (self.radius / 2) ** 2
             near |= left == nearest
-            self.children.append(CoverTree(rows, left[near], nearest))
+            parts.append((nearest, left[near]))
             left = left[~near]
             if len(left):
                 nearest = int(left[0])
+        if len(left) == 0:
+            self.children = [CoverTree(rows, part, at) for at, part in parts]
 
     @staticmethod
     def of(rows: np.ndarray) -> CoverTree:
@@ -83,16 +86,25 @@ class DualSearch:
                 waiting += [(c, r) for c in q.children]
 
     def compare(self, queries: np.ndarray, rows: np.ndarray) -> None:
-        scores = self.queries[queries].astype(self.kind) @ self.rows[rows].astype(self.kind).T
-        good = scores >= self.worst[queries][:, None]
-        good &= self.query_ids[queries][:, None] != self.row_ids[rows][None, :]
-        for i in np.flatnonzero(good.any(axis=1)).tolist():
-            at = np.flatnonzero(good[i])
-            q = int(queries[i])
-            found = zip((-scores[i, at]).tolist(), self.row_ids[rows[at]].tolist())
-            self.best[q] = sorted(self.best[q] + [(int(s), d) for s, d in found])[: self.k]
-            if len(self.best[q]) == self.k:
-                self.worst[q] = max(self.worst[q], -self.best[q][-1][0])
+        table = self.rows[rows].astype(self.kind).T
+        for low in range(0, len(queries), LEAF):
+            part = queries[low : low + LEAF]
+            scores = self.queries[part].astype(self.kind) @ table
+            good = scores >= self.worst[part][:, None]
+            good &= self.query_ids[part][:, None] != self.row_ids[rows][None, :]
+            for i in np.flatnonzero(good.any(axis=1)).tolist():
+                self.keep(int(part[i]), scores[i], np.flatnonzero(good[i]), rows)
+
+    def keep(self, query: int, scores: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+        """Take the best of some scores; ties at the k-th go on to the comparison of ids."""
+        if len(at) > self.k:
+            kth = np.partition(scores[at], -self.k)[-self.k]
+            at = at[scores[at] >= kth]
+        found = zip((-scores[at]).tolist(), self.row_ids[rows[at]].tolist())
+        best = sorted(self.best[query] + [(int(score), row) for score, row in found])[: self.k]
+        self.best[query] = best
+        if len(best) == self.k:
+            self.worst[query] = max(self.worst[query], -best[-1][0])
 
 
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -191,25 +203,37 @@ def topk_search(
 
     sizes = dealt.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("reach")).collect()
     asking = {(r["dim"], r["cell"]): r["reach"] for r in asks.groupBy("dim", "cell").agg(F.max("away").alias("reach")).collect()}
+    asked_rows = {(r["dim"], r["cell"]): r["n"] for r in asks.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     session = vectors.sparkSession
-    blocks = session.createDataFrame(
-        [(r["dim"], r["cell"], -(-r["n"] // BLOCK)) for r in sizes], "dim int, cell long, blocks long"
-    )
-    rows = dealt.join(blocks, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
-    parted = rows.select("dim", "cell", "block", "row", "id", "vec").groupBy("dim", "cell", "block")
 
     def answers(asks: DataFrame, pairs: list[tuple[int, int, int]]) -> DataFrame:
         """Search each query (with its ``floor``) in all blocks of the cells that its cell is paired with."""
+        load: dict[tuple[int, int], int] = {}
+        for dim, own, cell in pairs:
+            load[dim, cell] = load.get((dim, cell), 0) + asked_rows[dim, own]
+        known = [(r["dim"], r["cell"], r["n"]) for r in sizes if (r["dim"], r["cell"]) in load]
+        parts = session.createDataFrame(
+            [(dim, cell, -(-n // BLOCK), -(-load[dim, cell] // ASKED)) for dim, cell, n in known],
+            "dim int, cell long, blocks long, turns long",
+        )
+        first = F.lit(0).cast("long")
+        rows = dealt.join(parts, ["dim", "cell"]).select(
+            "dim", "cell", F.pmod(F.xxhash64("row"), F.col("blocks")).alias("block"),
+            F.explode(F.sequence(first, F.col("turns") - 1)).alias("turn"), "row", "id", "vec",
+        )
         table = session.createDataFrame(pairs, "dim int, own long, cell long")
         each = (
             asks.withColumnRenamed("cell", "own")
             .join(table, ["dim", "own"])
-            .join(blocks, ["dim", "cell"])
-            .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            .select(*[F.col(c).alias(f"q_{c}") for c in ("dim", "cell", "block", "row", "id", "vec", "floor")])
+            .join(parts, ["dim", "cell"])
+            .withColumn("turn", F.pmod(F.xxhash64("row"), F.col("turns")))
+            .withColumn("block", F.explode(F.sequence(first, F.col("blocks") - 1)))
+            .select(*[F.col(c).alias(f"q_{c}") for c in ("dim", "cell", "block", "turn", "row", "id", "vec", "floor")])
         )
-        return parted.cogroup(each.groupBy("q_dim", "q_cell", "q_block")).applyInArrow(
-            _search(k), "row long, query_id long, vec_id long, score long"
+        return (
+            rows.groupBy("dim", "cell", "block", "turn")
+            .cogroup(each.groupBy("q_dim", "q_cell", "q_block", "q_turn"))
+            .applyInArrow(_search(k), "row long, query_id long, vec_id long, score long")
         )
 
     by_score = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
