@@ -39,7 +39,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    return rows.join(dropped.select(ROW), ROW, "left_anti").drop(ROW)
+    """The other rows. The join is the same for a short list and a long one: it never broadcasts."""
+    return rows.join(dropped.select(ROW).hint("merge"), ROW, "left_anti").drop(ROW)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -297,9 +297,9 @@ def jaccard_links(sets: DataFrame, probes: DataFrame, percent: int) -> DataFrame
             )
         ).alias("part"),
     )
-    by_doc = sets.where(F.size("tokens") > 0).select(F.col("first").alias("doc"), "tokens")
-    members = stage(placed.join(by_doc, "doc"), "members")
-    total = members.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    by_doc = sets.where(F.size("tokens") > 0).select(F.col("first").alias("doc"), "n", "tokens")
+    total = placed.join(by_doc.select("doc", "n"), "doc").agg(F.sum("n")).first()[0] or 0
+    members = placed.join(by_doc.drop("n"), "doc")
     buckets = 1 + total // BUCKET_TOKENS
 
     def bucketed(rows: DataFrame, asks: bool) -> DataFrame:
@@ -310,8 +310,8 @@ def jaccard_links(sets: DataFrame, probes: DataFrame, percent: int) -> DataFrame
     edges = found.where("b is not null").select("a", "b")
     # Documents that a split group's hub does not reach ask the group's other parts.
     left = found.where("b is null").select("hub", F.col("part").alias("own"), F.col("a").alias("doc"))
-    split = members.where("parts > 1").join(left.select("hub").distinct(), "hub", "left_semi")
-    if split.limit(1).count():
+    if placed.where("parts > 1").limit(1).count():
+        split = members.where("parts > 1").join(left.select("hub").distinct(), "hub", "left_semi")
         asking = (
             left.join(split.select("hub", "part", "doc", "parts", "tokens").withColumnRenamed("part", "own"), ["hub", "own", "doc"])
             .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -355,9 +355,7 @@ def jaccard_join(
         .groupBy("bucket")
         .applyInArrow(_print_counts, _COUNTS)
     )
-    probes = stage(
-        possible.cogroup(counts.groupBy("chunk")).applyInArrow(_rare_probes(percent, buckets), _PROBES), "probes"
-    )
+    probes = possible.cogroup(counts.groupBy("chunk")).applyInArrow(_rare_probes(percent, buckets), _PROBES)
     roots = components(jaccard_links(sets, probes, percent)).withColumnRenamed("node", "first")
     told = sets.select("h1", "h2", "first", "n").join(roots, "first", "left")
     component = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("root", "first"))

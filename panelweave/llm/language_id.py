@@ -23,7 +23,7 @@ ROUNDS = 3
 POOLED, FLAT = 1e-3, 1e-4
 UNKNOWN = "und"
 #: Bytes of text whose words are scored together.
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 
 def vocabulary(path: str = VOCABULARY) -> list[bytes]:
