@@ -205,10 +205,11 @@ def mix_sources(docs: DataFrame, shard_words: int = SHARD_WORDS, **options) -> D
     """The mixed documents themselves: every taken copy with all columns, ``copy``, ``shard``, ``place``.
 
     The documents are written once with row numbers, so that sizes, draws and texts belong to
-    the same rows whatever is recomputed. See ``mix_plan`` for the options and the cases.
+    the same rows whatever is recomputed. Columns of the documents that are called like one of
+    the three give way. See ``mix_plan`` for the options and the cases.
     """
     numbered = stage(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
     plan = stage(mix_plan(numbered, row="_mix_row", **options), "mix-plan")
     dealt = deal(plan, shard_words)
-    names = [c for c in docs.columns if c not in ("copy", "shard", "place")]
-    return numbered.join(dealt, numbered["_mix_row"] == dealt["row"]).select(*names, "copy", "shard", "place")
+    texts = numbered.drop("copy", "shard", "place")
+    return texts.join(dealt.withColumnRenamed("row", "_mix_row"), "_mix_row").drop("_mix_row")
