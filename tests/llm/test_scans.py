@@ -55,7 +55,7 @@ def test_base_spans_equal_plain_regular_expressions(spark, tmp_path, name, brute
 
 
 def test_owners_tell_examples_from_live_secrets(spark):
-    copied, own, blob = "token=" + "q" * 16, "token=" + "z" * 16, "Ab1" * 9
+    copied, own, blob = "token=" + "q" * 16, "token=" + "z" * 16, "Xy1" * 9
     rows = [(i, f"{copied} {blob if i == 0 else ''}", f"s{i}") for i in range(3)] + [(9, own, "s0"), (10, blob.lower(), None)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, row string")
     found = {r["doc_id"]: [(f["kind"], f["live"], f["owners"]) for f in r["found"]] for r in secret_scan(docs).collect()}
