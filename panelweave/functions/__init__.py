@@ -8,12 +8,11 @@ from panelweave.functions.columns import (
     recode,
     threshold_bins,
 )
-from panelweave.functions.naming import latin, safe_names
-from panelweave.functions.sizing import broadcast_if_within, distinct_values
+from panelweave.functions.naming import latin, plain, safe_names
+from panelweave.functions.sizing import distinct_values
 
 __all__ = [
     "age_at",
-    "broadcast_if_within",
     "distinct_values",
     "is_month_end",
     "latin",
@@ -21,6 +20,7 @@ __all__ = [
     "month_index",
     "month_start",
     "parse_decimal",
+    "plain",
     "recode",
     "safe_names",
     "threshold_bins",

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.functions import is_month_end, latin, month_start
+from panelweave.functions import is_month_end, latin, month_start, plain
 
 
 def _only_if_any(pred: Column, value: Column) -> Column:
@@ -42,7 +42,7 @@ def month_end_count_of(pred: Column, day: Column, out: str) -> Column:
 
 
 def level_column(prefix: str, level: object) -> str:
-    return f"{prefix}_{latin(str(level))}"
+    return plain(f"{prefix}_{latin(str(level))}")
 
 
 def counts_by_level(kind: Column, levels: Sequence, prefix: str) -> list[Column]:

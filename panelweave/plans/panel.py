@@ -14,6 +14,7 @@ from panelweave.functions import (
     month_index,
     month_start,
     parse_decimal,
+    plain,
     recode,
     safe_names,
     threshold_bins,
@@ -272,7 +273,8 @@ def build_panel(
         panel = zero_streak(panel, entity, "_idx", "_own_flag", spec.streak)
 
     panel = encode(panel, spec, levels)
-    panel = calendar_join(panel, month, calendar, spec.calendar_key)
+    months = calendar.toDF(*[plain(c) for c in calendar.columns])
+    panel = calendar_join(panel, month, months, plain(spec.calendar_key))
     panel = calendar_one_hot(panel, month, levels.years)
     targets = label_columns(spec.horizons)
     hidden = {"_own_flag", "_in_snap", "_in_log", "_idx", *targets}

@@ -1,34 +1,51 @@
-"""Header CSV tables in and out."""
+"""Header CSV tables in and out, with quoting as pandas has it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+#: Stands for an unquoted empty field while reading, so that a quoted one stays an empty text.
+_MISSING = "\u0000"
+
 
 def read_delimited(
-    spark: SparkSession, path: str, schema: StructType | str, sep: str = ";"
+    spark: SparkSession, path: str, schema: StructType | str, sep: str = ";", multiline: bool = False
 ) -> DataFrame:
     """Read a header CSV with a declared schema, so no pass is spent on inferring types.
 
-    Columns are taken in file order; the header must agree with the schema's names.
+    Columns are taken in file order; the header must agree with the schema's names. Quotes in a
+    field are doubled, blanks belong to the text, an empty field is NULL and ``""`` is an empty
+    text. A cell that is no value of its column's type fails the job; declare a column STRING
+    and use ``parse_decimal`` for decimal commas. ``multiline`` reads fields with line breaks;
+    such files are not split.
     """
     return (
         spark.read.option("sep", sep)
         .option("header", True)
         .option("enforceSchema", False)
         .option("dateFormat", "yyyy-MM-dd")
+        .option("escape", '"')
+        .option("multiLine", multiline)
+        .option("nullValue", _MISSING)
+        .option("emptyValue", "")
+        .option("mode", "FAILFAST")
         .schema(schema)
         .csv(path)
     )
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ";", mode: str = "errorifexists") -> None:
-    """Write a header CSV, one part file per partition."""
+    """Write a header CSV, one part file per partition; ``read_delimited`` gives the same rows back."""
     (
         df.write.mode(mode)
         .option("sep", sep)
         .option("header", True)
         .option("dateFormat", "yyyy-MM-dd")
+        .option("escape", '"')
+        .option("nullValue", "")
+        .option("emptyValue", '""')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )

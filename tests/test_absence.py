@@ -72,3 +72,16 @@ def test_repeated_snapshot_month_fails(inputs):
     twice = snapshot.union(snapshot.limit(1))
     with pytest.raises(Exception, match="occurs twice"):
         ab.absence_panel(twice, *rest).select("hash_tab_num", "date").collect()
+
+
+def test_panel_of_dotted_names(spark, inputs):
+    """Headers of the calendar, log categories and grades may carry dots."""
+    snapshot, dependents, log, _ = inputs
+    snapshot = snapshot.withColumn("razryad_fact", F.when(F.col("hash_tab_num") == 1, "5.1").otherwise("6"))
+    log = log.withColumn("graphic_rule_level_1", F.when(F.dayofmonth("date") == 5, "Н.Д. явка").otherwise(F.col("graphic_rule_level_1")))
+    calendar = spark.createDataFrame([(m, float(m), 0.5) for m in range(1, 13)], "`Месяц` int, `налипание м.с.` double, `сложное отл.` double")
+    panel = ab.absence_panel(snapshot, dependents, log, calendar)
+    assert panel.count() == 30 and not [c for c in panel.columns if "." in c]
+    row = panel.where("hash_tab_num = 1 AND date = '2018-05-01'").first()
+    assert row["nalipanie_m_s_"] == 5.0 and row["slozhnoe_otl_"] == 0.5 and row["razryad_fact_5_1"] == 1
+    assert row["cnt_days_graphic_rule_level_1_N_D__javka"] == 1

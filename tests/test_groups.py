@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from panelweave import operators as op
 
@@ -21,9 +22,8 @@ def by_row(df, *cols):
     return {(r["entity"], r["month"]): tuple(r[c] for c in cols) for r in df.collect()}
 
 
-@pytest.mark.parametrize("hot_rows", [1, 2, 3, 1_000_000])
-def test_peer_stats_do_not_depend_on_the_route(snap, hot_rows):
-    df = op.peer_stats(snap, "entity", "month", "grp", "flag", hot_rows)
+def test_peer_stats(snap):
+    df = op.peer_stats(snap, "entity", "month", "grp", "flag")
     got = by_row(df, "grp_people_count", "grp_flag_count", "grp_flag_avg")
     assert got == {
         (1, 1): (3, 1, 0.5),
@@ -35,13 +35,29 @@ def test_peer_stats_do_not_depend_on_the_route(snap, hot_rows):
     }
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
-def test_group_size_weighs_dependents(snap, hot_rows):
-    fan = by_row(
-        op.group_size(snap, "entity", "month", "grp", "n_dep", "size", hot_rows=hot_rows), "size"
+def test_one_group_owns_most_rows(spark):
+    rows = spark.range(20_000).selectExpr(
+        "id AS entity", "1 AS month", "IF(id % 10 = 0, CAST(id % 50 AS STRING), IF(id % 10 = 1, NULL, 'hot')) AS grp",
+        "CAST(id % 2 AS INT) AS flag",
     )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "1KB")
+    try:
+        got = op.peer_stats(rows, "entity", "month", "grp", "flag").groupBy("grp").agg(
+            F.min("grp_people_count"), F.max("grp_people_count"), F.max("grp_flag_count"), F.count(F.lit(1))
+        )
+        found = {r[0]: tuple(r)[1:] for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")
+    assert found["hot"] == (16_000, 16_000, 8_000, 16_000) and found[None] == (None, None, None, 2_000)
+    assert found["0"] == (400, 400, 0, 400)
+
+
+def test_group_size_weighs_dependents(snap):
+    fan = by_row(op.group_size(snap, "entity", "month", "grp", "n_dep", "size"), "size")
     assert fan[1, 1] == (5,) and fan[4, 1] == (1,) and fan[5, 1] == (None,)
-    heads = by_row(op.group_size(snap, "entity", "month", "grp", hot_rows=hot_rows), "group_size")
+    heads = by_row(op.group_size(snap, "entity", "month", "grp"), "group_size")
     assert heads[1, 1] == (3,)
 
 
