@@ -3,7 +3,7 @@ self-joins for targets, grouped joins for peers, differences of row numbers for
 
 from __future__ import annotations
 
-from panelweave.catalog.queries import CUTOFF, PANEL_COLUMNS, POINTS
+from panelweave.catalog.queries import CUTOFF, HISTORIES, NUDGE, PANEL_COLUMNS, POINTS
 from panelweave.catalog.standins import SEGMENTS, SHIFT_VALUES, STATUSES, YEARS
 from panelweave.operators.history import MEAN_TRENDS, PERIODS, STD_TRENDS
 
@@ -376,6 +376,43 @@ encoded AS (
 
 
 ORACLES["assemble_panel"] = _panel_sql()
+
+
+def _panel_history_sql(block: str, *parts: str) -> str:
+    """``parts`` end with a table ``base`` of the block's columns by entity and month."""
+    chain, source = [], "base"
+    for i, col in enumerate(HISTORIES[block]):
+        chain.append(history_sql(source, col, f"h{i}"))
+        source = f"h{i}"
+    names = [n for col in HISTORIES[block] for n in history_names(col)]
+    rounded = ", ".join(f"round(CAST(h.{n} AS DOUBLE) + {NUDGE}, 6) AS {n}" for n in names)
+    return _with(_LOG, _SPINE, _SNAP, *parts, *chain) + f"""
+SELECT s.entity, s.month, {rounded} FROM snap s LEFT JOIN {source} h ON h.entity = s.entity AND h.month = s.month"""
+
+
+_PEERS = ", ".join(
+    f"""
+{g}_stats AS (
+  SELECT month, {g}, count(*) AS {g}_people_count, coalesce(sum(own_flag), 0) AS {g}_own_flag_count,
+         avg(own_flag) AS {g}_own_flag_avg
+  FROM snap WHERE {g} IS NOT NULL GROUP BY month, {g})"""
+    for g in ("post_group", "fact_group")
+)
+ORACLES["panel_history_shifts"] = _panel_history_sql(
+    "shifts", _SHIFT_HOURS, "base AS (SELECT entity, month, n AS shift_count, hours AS hours_sum FROM shift_months)"
+)
+ORACLES["panel_history_days"] = _panel_history_sql(
+    "days", f"base AS (SELECT entity, month, {_CATEGORY_COLUMNS} FROM log GROUP BY entity, month)"
+)
+ORACLES["panel_history_flag"] = _panel_history_sql("flag", _FLAGS, "base AS (SELECT * FROM flags)")
+ORACLES["panel_history_peers"] = _panel_history_sql(
+    "peers",
+    _PEERS,
+    """base AS (
+  SELECT s.entity, s.month, p.* EXCLUDE (month, post_group), f.* EXCLUDE (month, fact_group) FROM snap s
+  LEFT JOIN post_group_stats p ON p.month = s.month AND p.post_group = s.post_group
+  LEFT JOIN fact_group_stats f ON f.month = s.month AND f.fact_group = s.fact_group)""",
+)
 ORACLES["time_split"] = _with(_LOG, _SPINE, _FLAGS, _TARGETS) + f"""
 SELECT *, 'train' AS part FROM targets
 WHERE month < DATE '{CUTOFF}' AND {" AND ".join(f"y_{h} IS NOT NULL" for h in range(1, 13))}

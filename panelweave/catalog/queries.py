@@ -38,6 +38,8 @@ QUERIES: dict[str, Query] = {}
 CUTOFF = dt.date(2000, 8, 1)
 POINTS = [dt.date(1999, 8, 1), dt.date(1999, 7, 1), dt.date(1998, 9, 1)]
 DIGITS = 6
+#: Added before rounding, so that halves like 1.1953125 round alike whatever their last bit.
+NUDGE = 1.23e-8
 
 
 def query(run: Query) -> Query:
@@ -335,6 +337,48 @@ def assemble_panel(spark, sf):
     return rounded(panel.withColumns({b: F.col(b).cast("int") for b in bools}))
 
 
+# The history blocks of the panel: 40 columns for each of these. With ``assemble_panel`` they
+# cover every column of the panel.
+HISTORIES = {
+    "shifts": ["shift_count", "hours_sum"],
+    "days": [f"days_{s}" for s in st.STATUSES],
+    "flag": ["flag"],
+    "peers": [
+        f"{group}_{what}"
+        for group in ("post_group", "fact_group")
+        for what in ("people_count", "own_flag_count", "own_flag_avg")
+    ],
+}
+
+
+def _panel_history(spark, sf, block: str) -> DataFrame:
+    names = [n for col in HISTORIES[block] for n in op.history_columns(col)]
+    panel = _panel(spark, sf)
+    return panel.select(
+        "entity", "month", *[F.round(F.col(n).cast("double") + NUDGE, DIGITS).alias(n) for n in names]
+    )
+
+
+@query
+def panel_history_shifts(spark, sf):
+    return _panel_history(spark, sf, "shifts")
+
+
+@query
+def panel_history_days(spark, sf):
+    return _panel_history(spark, sf, "days")
+
+
+@query
+def panel_history_flag(spark, sf):
+    return _panel_history(spark, sf, "flag")
+
+
+@query
+def panel_history_peers(spark, sf):
+    return _panel_history(spark, sf, "peers")
+
+
 @query
 def time_split(spark, sf):
     panel = op.horizon_targets(st.flags(spark, sf), "entity", "month_idx", "flag")

@@ -35,6 +35,7 @@ from panelweave.operators.groups import attach_group_stats, group_size, peer_sta
 from panelweave.operators.history import (
     cumulative_stats,
     history_block,
+    history_columns,
     horizon_targets,
     rolling_stats,
     sparse_history,

@@ -251,6 +251,11 @@ def history_block(
     )
 
 
+def history_columns(col: str) -> list[str]:
+    """Names of the columns that ``history_block`` adds for one column."""
+    return [*_cumulative(col, ""), *_rolling(col, PERIODS), *_trends(col)]
+
+
 def sparse_history(df: DataFrame, key: str, order: str, present: Column, col: str) -> DataFrame:
     return history_block(df, key, order, [col], present)
 
