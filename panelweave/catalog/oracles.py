@@ -481,3 +481,36 @@ FROM (SELECT c_custkey AS entity,
 LEFT JOIN long USING (entity, date)"""
 ORACLES["delimited_round_trip"] = _with(_LOG) + """
 SELECT event, entity, day, shift_kind, category, hours FROM log"""
+
+# --- models whose every prediction is known ----------------------------------------------
+
+_AHEAD = """
+ahead AS (
+  SELECT s.entity, s.month, h.horizon, CASE WHEN (s.month_idx + h.horizon + s.entity) % 4 = 0 THEN 1 ELSE 0 END AS label
+  FROM (SELECT *, max(month) OVER (PARTITION BY entity) AS last FROM spine) s, (SELECT unnest(range(1, 13)) AS horizon) h
+  WHERE s.month + INTERVAL 12 MONTH <= s.last)"""
+ORACLES["fit_known_flag"] = _with(_LOG, _SPINE, _AHEAD) + f"""
+SELECT CAST(horizon AS INTEGER) AS horizon, 1.0 AS f1 FROM ahead
+WHERE month < DATE '{CUTOFF}' GROUP BY horizon"""
+ORACLES["forecast_known_flag"] = _with(_LOG, _SPINE) + f"""
+SELECT t.entity, t.month,
+       CAST(CASE WHEN s.entity IS NULL OR t.month > DATE '{CUTOFF}' + INTERVAL 12 MONTH THEN NULL
+            WHEN (year(t.month) * 12 + month(t.month) + t.entity) % 4 = 0 THEN 1 ELSE 0 END AS INTEGER) AS target
+FROM (SELECT c_custkey AS entity,
+             CAST(unnest(generate_series(DATE '2000-09-01', DATE '2001-11-01', INTERVAL 1 MONTH)) AS DATE) AS month
+      FROM customer) t
+LEFT JOIN (SELECT entity FROM spine WHERE month = DATE '{CUTOFF}') s ON s.entity = t.entity"""
+ORACLES["forecast_known_flag_forest"] = ORACLES["forecast_known_flag"]
+ORACLES["backtest_known_flag"] = _with(_LOG, _SPINE, _AHEAD) + f"""
+SELECT fold, CAST(horizon AS INTEGER) AS horizon, count(*) AS rows, sum(label)::BIGINT AS positives,
+       sum(label)::BIGINT AS fired, count(*) AS agree
+FROM ahead, (SELECT unnest([{", ".join(f"DATE '{p}'" for p in POINTS)}]) AS fold)
+WHERE month >= fold AND month < fold + INTERVAL 1 YEAR GROUP BY fold, horizon"""
+ORACLES["predictions_by_row"] = _METRICS + """
+SELECT l_orderkey AS entity, CAST(l_linenumber AS INTEGER) AS horizon, round(l_quantity / 50, 6) AS score,
+       CAST(CASE WHEN l_quantity / 50 >= best.threshold THEN 1 ELSE 0 END AS INTEGER) AS prediction
+FROM lineitem LEFT JOIN best ON best.horizon = l_linenumber"""
+ORACLES["ensemble_row_mean"] = """
+SELECT l_orderkey AS entity, l_linenumber AS horizon,
+       round((l_quantity / 50 + l_discount * 10 + l_tax * 10) / 3, 6) AS score
+FROM lineitem"""

@@ -27,6 +27,7 @@ from panelweave.models import (
     HorizonForecaster,
     backtest,
     backtest_f1,
+    ensemble_mean,
     ensemble_scores,
 )
 from panelweave.plans import build_panel, forecast_template
@@ -36,7 +37,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 CUTOFF = dt.date(2000, 8, 1)
-POINTS = [dt.date(1999, 8, 1), dt.date(1999, 7, 1), dt.date(1998, 9, 1)]
+POINTS = [dt.date(1999, 8, 1), dt.date(1999, 7, 1), dt.date(1998, 9, 1), dt.date(1998, 3, 1), dt.date(1997, 6, 1)]
 DIGITS = 6
 #: Added before rounding, so that halves like 1.1953125 round alike whatever their last bit.
 NUDGE = 1.23e-8
@@ -496,10 +497,8 @@ FEATURES = [
 SMALL = BoostingParams(rounds=2, max_depth=2, max_bins=32, min_rows=20)
 
 
-def _model_panel(spark, sf) -> DataFrame:
-    return stage(
-        _panel(spark, sf).select("entity", "month", *FEATURES, *op.label_columns()), "panel"
-    )
+def _panel_with_features(spark, sf) -> DataFrame:
+    return _panel(spark, sf).select("entity", "month", *FEATURES, *op.label_columns())
 
 
 def _forecaster() -> HorizonForecaster:
@@ -509,7 +508,7 @@ def _forecaster() -> HorizonForecaster:
 @query
 def fit_horizons(spark, sf):
     """Thresholds and validation F1 of twelve fitted horizons."""
-    train, _ = op.time_split(_model_panel(spark, sf), "month", CUTOFF, op.label_columns())
+    train, _ = op.time_split(_panel_with_features(spark, sf), "month", CUTOFF, op.label_columns())
     return _forecaster().fit(train).thresholds
 
 
@@ -517,17 +516,96 @@ def fit_horizons(spark, sf):
 def forecast_long(spark, sf):
     """Twelve months for the customers of the cutoff month, merged into the template."""
     template = st.template(spark, sf).withColumnRenamed("date", "month")
-    return forecast_template(_model_panel(spark, sf), template, CUTOFF, _forecaster())
+    return forecast_template(_panel_with_features(spark, sf), template, CUTOFF, _forecaster())
 
 
 @query
 def backtest_f1_scores(spark, sf):
-    preds = backtest(_model_panel(spark, sf), POINTS[:2], _forecaster)
+    preds = backtest(_panel_with_features(spark, sf), POINTS, _forecaster)
     return backtest_f1(preds)[0]
 
 
 @query
 def fit_forest_baseline(spark, sf):
-    train, current = op.time_split(_model_panel(spark, sf), "month", CUTOFF, ["y_1"])
+    panel = stage(_panel_with_features(spark, sf), "panel")
     forest = ForestBaseline(FEATURES, trees=3, max_depth=3)
+    train, current = op.time_split(panel, "month", CUTOFF, forest.required_labels)
     return forest.fit(train).predict(current)
+
+
+# --- models on a flag that recurs every fourth month, so that every prediction is known -----
+
+KNOWN = ["phase", "noise"]
+
+
+def _known_panel(spark, sf) -> DataFrame:
+    """The spine with a flag that ``phase`` determines for every horizon, and a feature that says nothing."""
+    phase = F.pmod(F.col("month_idx") + F.col("entity"), F.lit(4)).cast("int")
+    rows = st.flags(spark, sf).withColumns(
+        {
+            "phase": phase,
+            "flag": (phase == 0).cast("int"),
+            "noise": F.when(F.col("entity") % 3 != 0, F.pmod(F.hash("entity", "month"), F.lit(10))),
+        }
+    )
+    return op.horizon_targets(rows, "entity", "month_idx", "flag")
+
+
+def _known_forecaster() -> HorizonForecaster:
+    params = BoostingParams(rounds=2, max_depth=3, max_bins=16, min_rows=5, feature_fraction=1.0)
+    return HorizonForecaster(KNOWN, params, flag_missing=["noise"])
+
+
+@query
+def fit_known_flag(spark, sf):
+    """Horizons that found a threshold, and its F1 on the validation months."""
+    train, _ = op.time_split(_known_panel(spark, sf), "month", CUTOFF, op.label_columns())
+    return rounded(_known_forecaster().fit(train).thresholds.select("horizon", "f1"))
+
+
+@query
+def forecast_known_flag(spark, sf):
+    template = st.template(spark, sf).withColumnRenamed("date", "month")
+    return forecast_template(_known_panel(spark, sf), template, CUTOFF, _known_forecaster())
+
+
+@query
+def forecast_known_flag_forest(spark, sf):
+    template = st.template(spark, sf).withColumnRenamed("date", "month")
+    forest = ForestBaseline(["phase"], trees=3)
+    return forecast_template(_known_panel(spark, sf), template, CUTOFF, forest)
+
+
+@query
+def backtest_known_flag(spark, sf):
+    """Rows, positives and predictions of every fold and horizon."""
+    preds = backtest(_known_panel(spark, sf), POINTS, _known_forecaster)
+    return preds.groupBy("fold", "horizon").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("label").alias("positives"),
+        F.sum("prediction").alias("fired"),
+        F.count_if(F.col("label") == F.col("prediction")).alias("agree"),
+    )
+
+
+@query
+def predictions_by_row(spark, sf):
+    """Every line's decision, under the thresholds of its horizon."""
+    lines = st.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("entity"),
+        F.col("l_linenumber").alias("horizon"),
+        (F.col("l_quantity") / 50).alias("score"),
+    )
+    best = stage(op.best_f1_threshold(st.line_scores(spark, sf)), "thresholds")
+    return rounded(op.apply_thresholds(lines, best))
+
+
+@query
+def ensemble_row_mean(spark, sf):
+    """The mean that the forecaster takes of its seeds' scores, within the row."""
+    seeds = [F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10]
+    return rounded(
+        st.table(spark, sf, "lineitem").select(
+            F.col("l_orderkey").alias("entity"), F.col("l_linenumber").alias("horizon"), ensemble_mean(seeds).alias("score")
+        )
+    )

@@ -4,6 +4,7 @@ from panelweave.models.forecaster import (
     ForestBaseline,
     HorizonForecaster,
     assemble,
+    ensemble_mean,
     ensemble_scores,
 )
 
@@ -14,5 +15,6 @@ __all__ = [
     "assemble",
     "backtest",
     "backtest_f1",
+    "ensemble_mean",
     "ensemble_scores",
 ]

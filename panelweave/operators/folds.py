@@ -16,8 +16,10 @@ def label_columns(horizons: int = 12, prefix: str = "y") -> list[str]:
 def time_split(
     panel: DataFrame, month: str, cutoff: dt.date, labels: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows before the cutoff that have every label, and the rows of the cutoff month."""
-    train = panel.where(F.col(month) < F.lit(cutoff)).na.drop(subset=list(labels))
+    """Rows before the cutoff that have every label named, and the rows of the cutoff month."""
+    train = panel.where(F.col(month) < F.lit(cutoff))
+    if labels:
+        train = train.na.drop(subset=list(labels))
     return train, panel.where(F.col(month) == F.lit(cutoff))
 
 

@@ -1,12 +1,21 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from panelweave import operators as op
-from panelweave.models import BoostingParams, ForestBaseline, HorizonForecaster, backtest, backtest_f1
+from panelweave.models import (
+    BoostingParams,
+    ForestBaseline,
+    HorizonForecaster,
+    assemble,
+    backtest,
+    backtest_f1,
+)
 from panelweave.models.forecaster import unpivot_scores
 from panelweave.plans import forecast_template
+from panelweave.sources import shared_dir, staged
 
 H = 2
 FEATURES = ["signal", "noise"]
@@ -76,3 +85,31 @@ def test_forest(panel):
     predicted = fitted.predict(panel).join(panel.select("entity", "month", "idx", "flag"), ["entity", "month"])
     wrong = predicted.where("y_1 <> CAST((month(month) + 1 + entity) % 4 = 0 AS INT)").count()
     assert wrong == 0
+
+
+def test_missing_values_can_be_told_from_zero(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, 0.0D, 2), (2, NULL, NULL) AS t(entity, noise, signal)")
+    vectors = assemble(rows, FEATURES, ["entity"], flag_missing=["noise"]).orderBy("entity").collect()
+    assert [list(r["features"]) for r in vectors] == [[2.0, 0.0, 0.0], [0.0, 0.0, 1.0]]
+
+
+def test_each_model_names_the_labels_its_rows_need(panel):
+    assert model().required_labels == ["y_1", "y_2"]
+    forest = ForestBaseline(FEATURES, trees=2, max_depth=3, horizons=H)
+    cutoff = dt.date(2019, 4, 1)
+    rows = [op.time_split(panel, "month", cutoff, m.required_labels)[0].count() for m in (model(), forest)]
+    assert rows[1] - rows[0] == 200  # the month before the cutoff, whose second label is unknown
+
+
+def test_fits_leave_no_training_rows_behind(spark, panel):
+    folder = Path(shared_dir(spark))
+    model().fit(panel.na.drop(subset=op.label_columns(H)))
+    ForestBaseline(FEATURES, trees=2, max_depth=3, horizons=H).fit(panel)
+    assert not [p for p in folder.iterdir() if p.name.startswith(("training", "held-out", "backtest-panel"))]
+
+
+def test_a_staged_table_is_removed_when_its_block_fails(spark):
+    with pytest.raises(ValueError), staged(spark.range(3), "doomed") as table:
+        assert table.count() == 3
+        raise ValueError
+    assert not list(Path(shared_dir(spark)).glob("doomed-*"))
