@@ -77,8 +77,9 @@ def secret_scan(
 
     Each of them has ``kind``, ``start`` and ``end`` in code points, and what the whole corpus says
     about its value: in how many ``repositories`` and with how many ``owners`` it occurs, and
-    ``live``, true where fewer than ``example_owners`` owners hold it. Matches of a kind are
-    leftmost and do not overlap; those that are too short are dropped without a retry. Kinds
+    ``live``, true where fewer than ``example_owners`` owners hold it. ``number`` is true for a
+    match without any letter, which is a card or order number rather than a credential, however
+    few hold it. Matches of a kind are leftmost and do not overlap; those that are too short are dropped without a retry. Kinds
     marked ``specific`` are kept only if they mix cases and digits, overlap no other kind and
     belong to a single owner.
 
@@ -135,7 +136,11 @@ def secret_scan(
     candidates = stage(
         kept.withColumn("clear", clear)
         .where(~F.col("special") | F.col("clear"))
-        .select("row", "kind", "start", "end", "special", "repository", "owner", F.sha2("value", 256).alias("value")),
+        .select(
+            "row", "kind", "start", "end", "special", "repository", "owner",
+            F.sha2("value", 256).alias("value"),
+            (~F.col("match").rlike("[A-Za-z]")).alias("number"),
+        ),
         "secret-candidates",
     )
 
@@ -155,7 +160,10 @@ def secret_scan(
         .agg(
             F.sort_array(
                 F.collect_list(
-                    F.struct("start", "kind", "end", "repositories", "owners", (F.col("owners") < example_owners).alias("live"))
+                    F.struct(
+                        "start", "kind", "end", "repositories", "owners",
+                        (F.col("owners") < example_owners).alias("live"), "number",
+                    )
                 )
             ).alias("found")
         )
@@ -170,6 +178,7 @@ def secret_scan(
             r["repositories"].alias("repositories"),
             r["owners"].alias("owners"),
             r["live"].alias("live"),
+            r["number"].alias("number"),
         ),
     )
     return scanned.select("row", "doc").join(told, "row", "left").select(F.col("doc").alias(doc), found.alias("found"))

@@ -26,7 +26,7 @@ ROWS = [
     (0, "the cat and the dog and the bird sing a song of the old days in the woods by the sea " * 3, "en", "a"),
     (1, "the cat and the dog and the bird sing a song of the old days in the woods by the sea " * 3, "en", "b"),
     (2, "token=abcdefghijklmnop the and of the woods and of the sea", "en", "a"),
-    (3, "le chat et le chien et l oiseau chantent une chanson des jours anciens dans les bois", "fr", None),
+    (3, "le chat et le chien et l oiseau 4556123412341234 chantent une chanson des jours anciens dans les bois", "fr", None),
     (None, "12345 67890", None, "a"),
     (4, None, "en", "a"),
     (5, "question one two three four five six seven eight nine ten eleven twelve thirteen the", "en", "a"),

@@ -64,6 +64,13 @@ def test_owners_tell_examples_from_live_secrets(spark):
     assert secret_scan(docs.limit(0)).count() == 0
 
 
+def test_numbers_are_told_from_credentials(spark):
+    rows = [(1, "card 4556123412341234 and", "a"), (2, "key deadbeef00112233 and", "b"), (3, "password=1234567890123", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: [(f["kind"], f["live"], f["number"]) for f in r["found"]] for r in secret_scan(docs).collect()}
+    assert found == {1: [("hex", True, True)], 2: [("hex", True, False)], 3: [("assign", True, False)]}
+
+
 def test_checksums_and_context():
     assert luhn("4111111111111111") and not luhn("4111111111111112")
     assert mod97("GB82WEST12345698765432") and not mod97("GB83WEST12345698765432")
