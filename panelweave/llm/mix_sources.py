@@ -201,6 +201,24 @@ def deal(plan: DataFrame, shard_words: int = SHARD_WORDS, seed: int = SEED) -> D
     return out.select("row", "copy", "shard", F.row_number().over(within).cast("long").alias("place"))
 
 
+def mix_dealt(docs: DataFrame, shard_words: int = SHARD_WORDS, **options) -> DataFrame:
+    """The plan's rows after dealing: ``copies``, ``taken`` and ``shards``, from the dealt copies.
+
+    Every copy is dealt to its shard and place and written, and the copies written are counted.
+    ``shards`` says in how many shards a row has copies. See ``mix_plan`` for the options and the cases.
+    """
+    plan = stage(mix_plan(docs, **options), "mix-plan")
+    dealt = stage(deal(plan, shard_words), "mix-dealt")
+    counts = dealt.groupBy(F.col("row").alias("_row")).agg(
+        F.count(F.lit(1)).alias("_copies"), F.count_distinct("shard").alias("shards")
+    )
+    known = plan.drop("copies", "taken").join(counts, F.col("row") == F.col("_row"), "left")
+    copies = F.coalesce("_copies", F.lit(0).cast("long"))
+    return known.withColumns(
+        {"copies": copies, "taken": copies * F.col("size"), "shards": F.coalesce("shards", F.lit(0).cast("long"))}
+    ).drop("_row", "_copies")
+
+
 def mix_sources(docs: DataFrame, shard_words: int = SHARD_WORDS, **options) -> DataFrame:
     """The mixed documents themselves: every taken copy with all columns, ``copy``, ``shard``, ``place``.
 

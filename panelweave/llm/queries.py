@@ -11,7 +11,7 @@ from panelweave.llm import sql
 from panelweave.llm.decontaminate import decontaminate
 from panelweave.llm.jaccard_join import jaccard_join
 from panelweave.llm.language_id import held_out, language_id
-from panelweave.llm.mix_sources import mix_plan
+from panelweave.llm.mix_sources import mix_dealt
 from panelweave.llm.pii import BASE, of_kind, pii_scan
 from panelweave.llm.rlz_dedup import rlz_dedup
 from panelweave.llm.secret_scan import secret_scan, span_text
@@ -57,8 +57,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mix_plan(_table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    done = mix_dealt(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

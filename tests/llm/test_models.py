@@ -121,6 +121,21 @@ def test_mix_of_odd_rows(spark):
     assert mix.mix_plan(docs.limit(0)).count() == 0 == mix.mix_sources(docs.limit(0)).count()
 
 
+def test_mixing_query_deals_what_it_counts(spark, sf_dir, monkeypatch):
+    trees, tree = [], mix.splitting_tree
+    monkeypatch.setattr(mix, "splitting_tree", lambda *args: trees.append((args, tree(*args))) or trees[-1][1])
+    told = queries.op8_mix_sources(spark, sf_dir).toPandas()
+    ((quotas, shards, _), dealt) = trees[0]
+    assert len(trees) == 1 and dealt.shape == (shards, len(quotas)) and (dealt.sum(axis=0) == quotas).all()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    done = mix.mix_dealt(docs, shard_words=10_000).toPandas()
+    assert done["taken"].sum() == told["taken"].sum() and (done["shards"] <= done["copies"]).all()
+    mixed = mix.mix_sources(docs, shard_words=10_000).select("doc_id", "shard", "place").toPandas()
+    assert mixed["doc_id"].value_counts().to_dict() == done[done["copies"] > 0].set_index("doc_id")["copies"].to_dict()
+    places = mixed.groupby("shard")["place"]
+    assert mixed["shard"].nunique() > 5 and (places.min() == 1).all() and (places.max() == places.count()).all()
+
+
 def judged(url):
     host = path = ""
     if url is not None and "://" in url:
