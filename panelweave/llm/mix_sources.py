@@ -19,6 +19,10 @@ BLOCK_WORDS, SHARD_WORDS = 50_000, 5_000_000
 SEED = 17
 #: Rounds in which documents are fitted into what a source still lacks.
 FILLINGS = 3
+#: A source is drawn again if it is off by more than this share of its target and by more than so many mean documents.
+OFF_SHARE, OFF_DOCS = 0.01, 2
+#: Orders of the large documents that are tried for a source that is drawn again.
+ORDERS = 200
 
 
 def _number(*columns) -> Column:
@@ -88,7 +92,8 @@ def mix_plan(
     A source whose target is several times its size is taken that often as a whole. For the rest
     its blocks are drawn in an order that only the seed decides, until the next one is too large;
     of that one documents that fit follow in such an order, and at last the one that comes
-    closest to the target. Blocks depend on ids alone, so reruns agree; rows with one id and size share a block.
+    closest to the target. A source that is then off by over 1 percent and two mean documents is
+    drawn again, its large documents first. Blocks depend on ids alone, so reruns agree; rows with one id and size share a block.
 
     ``row`` names a column that numbers the rows; without it they are numbered here.
 
@@ -151,10 +156,10 @@ def mix_plan(
     done = placed.join(edge, placed["row"] == edge["_row"], "left")
     more = (F.col("inside") | F.coalesce("extra", F.lit(False))) & (F.col("size") > 0)
     copies = F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(0).cast("long")
-    return done.select(
+    draw = done.select(
         "row",
-        F.col("doc").alias(doc),
-        F.col("source").alias("source"),
+        "doc",
+        "source",
         "size",
         F.col("words").alias("source_size"),
         "target",
@@ -163,6 +168,92 @@ def mix_plan(
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
     )
+    return _drawn_again(stage(draw, "draw"), seed).withColumnRenamed("doc", doc)
+
+
+def choose_large(sizes: np.ndarray, keys: np.ndarray, rest: float, words: int, small: int, near: float, seed: int) -> np.ndarray:
+    """Which large documents to take, so that ``small`` words of small ones can fill what ``rest`` lacks.
+
+    In the order of their keys those are taken that a draw of ``rest`` of ``words`` would take; if the
+    small ones are too few for the rest, others follow that fit, and at last one that comes closer.
+    Other orders, the largest first among them, are tried until one comes ``near``.
+    """
+    orders, generator = [np.argsort(keys, kind="stable"), np.argsort(-sizes, kind="stable")], np.random.Generator(np.random.PCG64(seed))
+    drawn = keys < rest / max(words, 1) * 2**32
+    best, least = np.zeros(len(sizes), bool), float("inf")
+    for turn in range(ORDERS):
+        order = orders[turn] if turn < len(orders) else generator.permutation(len(sizes))
+        taken, held = np.zeros(len(sizes), bool), 0
+        for i in order.tolist() if turn else order[drawn[order]].tolist():
+            if held + sizes[i] <= rest and (turn == 0 or held + small < rest):
+                taken[i], held = True, held + int(sizes[i])
+        for i in order.tolist():
+            if not taken[i] and held + small < rest and held + sizes[i] <= rest:
+                taken[i], held = True, held + int(sizes[i])
+        gap = max(0.0, rest - held - small)
+        others = np.flatnonzero(~taken)
+        if gap and len(others):
+            closest = others[np.argmin(np.abs(sizes[others] - gap))]
+            if abs(sizes[closest] - gap) < gap:
+                taken[closest], gap = True, abs(sizes[closest] - gap)
+        if gap < least:
+            best, least = taken, gap
+        if least <= near:
+            break
+    return best
+
+
+def _drawn_again(draw: DataFrame, seed: int) -> DataFrame:
+    """The draw, with another for the sources that long documents keep far from their targets.
+
+    Large documents of such a source (over half of what it may be off) are decided first, on the
+    driver: their number is bounded by 200 times the source's size over its target. Small ones fill
+    the rest in the seeded order of their blocks, of the block that goes over by running sums.
+    """
+    sums = draw.groupBy("source").agg(
+        F.first("source_size").alias("words"), F.first("target").alias("target"), F.sum("taken").alias("taken"),
+        F.count(F.when(F.col("size") > 0, 1)).alias("n"),
+    )
+    odd = {}
+    for r in sums.where("words > 0").collect():
+        may = max(OFF_SHARE * r["target"], OFF_DOCS * r["words"] / r["n"])
+        if abs(r["taken"] - r["target"]) > may:
+            whole = int(r["target"] // r["words"])
+            odd[r["source"]] = (r["words"], whole, r["target"] - whole * r["words"], may / 2)
+    if not odd:
+        return draw
+    session, kind = draw.sparkSession, draw.schema["source"].dataType.simpleString()
+    goals = session.createDataFrame([(k, v[1], v[3]) for k, v in odd.items()], f"_source {kind}, whole long, most double")
+    # One row for each source that is drawn again.
+    rows = draw.join(F.broadcast(goals), draw["source"].eqNullSafe(goals["_source"]), "left").drop("_source")
+    again = rows.where("whole is not null and size > 0")
+    small = again.where("size <= most")
+    blocks = small.groupBy("source", "block").agg(F.sum("size").alias("words"))
+    held = {r["source"]: r["words"] for r in blocks.groupBy("source").agg(F.sum("words").alias("words")).collect()}
+    large: dict = {k: [] for k in odd}
+    for r in again.where("size > most").select("source", "row", "size", "key").orderBy("key", "size", "row").collect():
+        large[r["source"]].append((r["row"], r["size"], r["key"]))
+    chosen, rooms = [], []
+    for name, (words, _, rest, near) in odd.items():
+        ids, sizes, keys = np.array(large[name], np.int64).reshape(-1, 3).T
+        taken = choose_large(sizes, keys, rest, words, held.get(name, 0), near, seed)
+        chosen += [(i,) for i in ids[taken].tolist()]
+        rooms.append((name, rest - int(sizes[taken].sum())))
+    rooms = session.createDataFrame(rooms, f"_source {kind}, room double")
+    order = Window.partitionBy("source").orderBy(_number(F.lit(str(seed + 2)), "source", "block"), "block")
+    filled = blocks.join(F.broadcast(rooms), blocks["source"].eqNullSafe(rooms["_source"])).withColumn("upto", F.sum("words").over(order))
+    filled = filled.where(F.col("upto") - F.col("words") < F.col("room")).select(
+        "_source", F.col("block").alias("_block"), (F.col("upto") <= F.col("room")).alias("all"), (F.col("room") - F.col("upto") + F.col("words")).alias("left")
+    )
+    inside = small.join(filled, small["source"].eqNullSafe(filled["_source"]) & (small["block"] == filled["_block"]))
+    within = Window.partitionBy("source").orderBy("key", "doc", "row")
+    last = inside.where(~F.col("all")).withColumn("upto", F.sum("size").over(within)).where("upto <= left").select("row")
+    more = session.createDataFrame(chosen, "row long").unionByName(inside.where("all").select("row")).unionByName(last)
+    more = more.select(F.col("row").alias("_row"), F.lit(True).alias("more"))
+    out = rows.join(more, rows["row"] == more["_row"], "left")
+    redone = F.col("whole") + F.coalesce("more", F.lit(False)).cast("long")
+    copies = F.when(F.col("whole").isNotNull() & (F.col("size") > 0), redone).otherwise(F.col("copies"))
+    return stage(out.withColumns({"copies": copies, "taken": copies * F.col("size")}).select(draw.columns), "redraw")
 
 
 def deal(plan: DataFrame, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
@@ -207,7 +298,7 @@ def mix_dealt(docs: DataFrame, shard_words: int = SHARD_WORDS, **options) -> Dat
     Every copy is dealt to its shard and place and written, and the copies written are counted.
     ``shards`` says in how many shards a row has copies. See ``mix_plan`` for the options and the cases.
     """
-    plan = stage(mix_plan(docs, **options), "mix-plan")
+    plan = mix_plan(docs, **options)
     dealt = stage(deal(plan, shard_words), "mix-dealt")
     counts = dealt.groupBy(F.col("row").alias("_row")).agg(
         F.count(F.lit(1)).alias("_copies"), F.count_distinct("shard").alias("shards")
@@ -227,7 +318,7 @@ def mix_sources(docs: DataFrame, shard_words: int = SHARD_WORDS, **options) -> D
     the three give way. See ``mix_plan`` for the options and the cases.
     """
     numbered = stage(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
-    plan = stage(mix_plan(numbered, row="_mix_row", **options), "mix-plan")
+    plan = mix_plan(numbered, row="_mix_row", **options)
     dealt = deal(plan, shard_words)
     texts = numbered.drop("copy", "shard", "place")
     return texts.join(dealt.withColumnRenamed("row", "_mix_row"), "_mix_row").drop("_mix_row")

@@ -136,6 +136,25 @@ def test_mixing_query_deals_what_it_counts(spark, sf_dir, monkeypatch):
     assert mixed["shard"].nunique() > 5 and (places.min() == 1).all() and (places.max() == places.count()).all()
 
 
+@pytest.mark.parametrize("share", [0.5, 0.7, 1.5])
+def test_mix_meets_targets_beside_a_long_document(spark, share):
+    """Every source has one document with a third of its words (sources a to h) or 40 percent of them (i to p)."""
+    rows = [(1000 * s + i, "w " * 50, chr(97 + s)) for s in range(16) for i in range(600 + s)]
+    rows += [(1000 * s + 999, "w " * (15_000 if s < 8 else 20_000), chr(97 + s)) for s in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    plan = mix.mix_plan(docs, weights=(1,), share=share, block_words=5000).toPandas()
+    by = plan.groupby("source").agg({"taken": "sum", "target": "first", "source_size": "first", "size": "mean"})
+    assert (abs(by["taken"] - by["target"]) <= np.maximum(0.01 * by["target"], 2 * by["size"])).all()
+    assert len(plan) == len(rows) and plan["copies"].max() <= 2
+
+
+def test_large_documents_leave_what_small_ones_can_fill():
+    sizes, keys = np.array([400, 150, 150]), np.array([2**31, 0, 1])
+    taken = mix.choose_large(sizes, keys, 500.0, 800, 100, 5.0, 1)
+    assert 400 <= sizes[taken].sum() <= 500
+    assert not mix.choose_large(sizes[:0], keys[:0], 500.0, 800, 800, 5.0, 1).any()
+
+
 def judged(url):
     host = path = ""
     if url is not None and "://" in url:
