@@ -19,6 +19,8 @@ from panelweave.sources import stage
 
 #: A text whose best language has less than this chance is in none of the known ones.
 LEAST_CHANCE = 0.5
+#: Benchmark items with fewer words are common phrases; a document is not dropped for them.
+LEAST_ITEM_WORDS = 4
 FILE, ROW = "_stage_file", "_stage_row"
 
 
@@ -63,7 +65,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of a benchmark item."""
-    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_words=LEAST_ITEM_WORDS)
 
 
 def no_live_secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

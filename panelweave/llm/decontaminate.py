@@ -18,8 +18,9 @@ from panelweave.llm import texts, windows
 MASKS = ("11101011", "1101001101")
 #: Words of a window, and how many of them must be equal.
 WINDOW, EQUAL = 13, 11
-#: Shorter items than this are no evidence; items below ``WINDOW`` words must occur whole and unchanged.
-LEAST_WORDS = 8
+#: Shorter items than this are no evidence, unless the caller lowers it. Items below ``WINDOW`` words must
+#: occur whole, those from ``ONE_LOST`` words on with at most one word replaced, shorter ones unchanged.
+LEAST_WORDS, ONE_LOST = 8, 10
 #: Bytes of benchmark text that are broadcast at once. A larger benchmark goes in several passes.
 BLOCK_BYTES = 8 << 20
 
@@ -50,9 +51,12 @@ class SeedIndex:
         data, bounds = texts.text_bytes(pa.chunked_array([pa.array(item_texts, pa.string())]))
         self.symbols, self.bounds = words_of(data, bounds)
         self.ids = item_ids
-        usable = np.diff(self.bounds) >= least_words
+        lengths = np.diff(self.bounds)
+        # Items shorter than every mask are found by all their words.
+        short = np.unique(lengths[(lengths >= max(1, least_words)) & (lengths < min(map(len, MASKS)))])
         self.masks = []
-        for mask in MASKS:
+        for mask in (*MASKS, *("1" * n for n in short.tolist())):
+            usable = lengths == len(mask) if len(mask) in short else lengths >= least_words
             each = seeds(self.symbols, mask)
             at = np.arange(len(each))
             item = np.searchsorted(self.bounds, at, side="right") - 1
@@ -90,7 +94,8 @@ class SeedIndex:
         begin = int(self.bounds[item]) + low - first
         same = symbols[low:high] == self.symbols[begin : begin + high - low]
         total = np.concatenate(([0], np.cumsum(same)))
-        good = np.flatnonzero(total[width:] - total[:-width] >= (EQUAL if length >= WINDOW else width))
+        least = EQUAL if length >= WINDOW else width - (length >= ONE_LOST)
+        good = np.flatnonzero(total[width:] - total[:-width] >= least)
         if len(good) == 0:
             return good
         cover = np.zeros(high - low + 1, np.int64)
@@ -167,7 +172,9 @@ def decontaminate(
 
     Words are compared without case and punctuation. Seeds of both sides are hashed under fixed
     masks; where they meet, the item is laid along the document and windows of 13 words count
-    that have at least 11 equal ones. The masks find every such window (tests prove it).
+    that have at least 11 equal ones. The masks find every such window (tests prove it). Items of
+    10 to 12 words count whole with one word replaced; those of 8 and 9, and shorter ones down to
+    ``least_words``, only whole and unchanged. Text without spaces is one word.
 
     The benchmark, not the corpus, is broadcast, and only in blocks of ``block_bytes`` of text;
     documents are read once per block and never shuffled. Missing texts have no words; documents

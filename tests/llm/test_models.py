@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from panelweave.llm import decontaminate as spaced
 from panelweave.llm import language_id as language
 from panelweave.llm import mix_sources as mix
@@ -101,6 +102,26 @@ def test_overlaps_equal_brute_force(spark):
     assert spaced.decontaminate(frame.limit(0), bench).count() == 0 == spaced.decontaminate(frame, bench.limit(0)).count()
 
 
+def test_short_items_whole_or_with_one_word_replaced(spark, tmp_path):
+    names = [f"{c}{d}" for c in "abcdefgh" for d in "klmnopqrst"]
+    sizes = [1, 2, 4, 7, 8, 9, 10, 11, 12]
+    items = [(n, " ".join(names[i * 3 : i * 3 + n]) if n < 8 else " ".join(names[30 + i * 3 : 30 + i * 3 + n])) for i, n in enumerate(sizes)]
+    docs = []
+    for n, text in items:
+        words = text.split()
+        for lost in [(), *itertools.combinations(range(n), 1), *itertools.combinations(range(n), 2)]:
+            docs.append((len(docs), "x y " + " ".join("zz" if i in lost else w for i, w in enumerate(words)) + " y x", n, len(lost)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, n long, lost long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    own = {d: (n, lost) for d, _, n, lost in docs}
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op6_decontaminate(spark, str(tmp_path)).collect() if own[r["doc_id"]][0] == r["item_id"]}
+    assert got == {(d, n) for d, (n, lost) in own.items() if lost <= (n >= 10)}
+    kept = {r["doc_id"] for r in corpus_pipeline.no_benchmark(spark, frame.where("n in (4, 7, 12)"), str(tmp_path)).collect()}
+    assert kept == {d for d, (n, lost) in own.items() if n in (4, 7, 12) and lost > (n >= 10)}
+
+
 def test_splitting_tree_meets_quotas():
     quotas = np.array([5, 0, 1000, 33])
     dealt = mix.splitting_tree(quotas, 7, 3)
