@@ -17,7 +17,7 @@ from panelweave.llm.mix_sources import mix_sources
 from panelweave.llm.secret_scan import secret_scan
 from panelweave.sources import stage
 
-#: A text whose best language has less than this chance is in none of the known ones.
+#: Least chance of the best language among the learned ones. It says nothing of other languages: their texts mostly stay.
 LEAST_CHANCE = 0.5
 #: Benchmark items with fewer words are common phrases; a document is not dropped for them.
 LEAST_ITEM_WORDS = 4
