@@ -12,6 +12,7 @@ from panelweave.llm.decontaminate import decontaminate
 from panelweave.llm.jaccard_join import jaccard_join
 from panelweave.llm.language_id import held_out, language_id
 from panelweave.llm.mix_sources import mix_dealt
+from panelweave.llm.piece_codec import encode_pieces
 from panelweave.llm.pii import BASE, of_kind, pii_scan
 from panelweave.llm.rlz_dedup import rlz_dedup
 from panelweave.llm.secret_scan import secret_scan, span_text
@@ -86,6 +87,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    done = encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op2_language_id": op2_language_id,
@@ -97,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii": op10_pii,
+    "op12_piece_codec": op12_piece_codec,
 }
 
 ORACLES: dict[str, str] = {

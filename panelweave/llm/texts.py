@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def flat(column: pa.ChunkedArray) -> pa.Array:
@@ -21,6 +24,19 @@ def text_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``limit`` bytes of the column; a longer value stands alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    low, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > low and total + size > limit:
+            yield batch.slice(low, i - low)
+            low, total = i, 0
+        total += size
+    if low < len(sizes):
+        yield batch.slice(low)
+
+
 def numbers(column: pa.ChunkedArray, dtype=np.int64) -> np.ndarray:
     return flat(column).to_numpy(zero_copy_only=False).astype(dtype, copy=False)
 
