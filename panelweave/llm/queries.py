@@ -14,6 +14,7 @@ from panelweave.llm.language_id import held_out, language_id
 from panelweave.llm.mix_sources import mix_dealt
 from panelweave.llm.piece_codec import encode_pieces
 from panelweave.llm.pii import BASE, of_kind, pii_scan
+from panelweave.llm.prefix_trie import conversation_marks, prefix_trie, with_shared_heads
 from panelweave.llm.rlz_dedup import rlz_dedup
 from panelweave.llm.secret_scan import secret_scan, span_text
 from panelweave.llm.suffix_dedup import suffix_dedup
@@ -87,6 +88,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(with_shared_heads(conversation_marks(_table(spark, sf_dir, "conversations"))))
+
+
 def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii": op10_pii,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_piece_codec": op12_piece_codec,
 }
 
@@ -120,4 +126,5 @@ ORACLES: dict[str, str] = {
     "op7_jaccard_join": sql.JACCARD_JOIN,
     "op8_mix_sources": sql.MIX_SOURCES,
     "op9_secret_scan": sql.SECRET_SCAN,
+    "op11_prefix_trie": sql.PREFIX_TRIE,
 }

@@ -227,3 +227,50 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+PREFIX_TRIE = """
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS (
+  SELECT conv_id, list({role: role, text: text} ORDER BY turn NULLS FIRST, mark, length(text)) AS turns
+  FROM said GROUP BY conv_id
+),
+-- CRC-32 of the id in decimal, bit by bit.
+sized AS (
+  SELECT conv_id, turns, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))
+  ), 4294967295) % 6 AS h
+  FROM own
+),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(
+    CASE WHEN c.h > 0 THEN coalesce(b.turns, [])[1:c.h] ELSE [] END, c.turns[c.h + 1:]
+  ) AS turns
+  FROM sized c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100
+),
+prefixes AS (
+  SELECT conv_id, d AS depth, turns[1:d] AS prefix, len(turns) = d AS ends
+  FROM rebuilt, LATERAL unnest(range(len(turns) + 1)) AS t(d)
+),
+nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256,
+    CASE WHEN depth > 0 THEN (count(*) - 1) * length(prefix[depth].text) ELSE 0 END AS saved
+  FROM prefixes GROUP BY prefix, depth
+),
+children AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+above AS (
+  SELECT n.prefix[1:d] AS prefix, n.saved, c.prefix IS NULL AS leaf
+  FROM nodes n LEFT JOIN children c ON c.prefix = n.prefix, LATERAL unnest(range(n.depth + 1)) AS t(d)
+),
+summed AS (SELECT prefix, sum(saved)::BIGINT AS saved_tokens, count_if(leaf)::BIGINT AS n_leaves FROM above GROUP BY prefix)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+  s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN summed s ON s.prefix = n.prefix
+LEFT JOIN children c ON c.prefix = n.prefix
+LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = n.prefix[1:n.depth - 1]
+"""
