@@ -12,6 +12,7 @@ from panelweave.llm.decontaminate import decontaminate
 from panelweave.llm.jaccard_join import jaccard_join
 from panelweave.llm.language_id import held_out, language_id
 from panelweave.llm.mix_sources import mix_dealt
+from panelweave.llm.phrase_graph import collocations
 from panelweave.llm.piece_codec import encode_pieces
 from panelweave.llm.pii import BASE, of_kind, pii_scan
 from panelweave.llm.prefix_trie import conversation_marks, prefix_trie, with_shared_heads
@@ -104,6 +105,10 @@ def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op2_language_id": op2_language_id,
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_piece_codec": op12_piece_codec,
+    "op13_phrase_graph": op13_phrase_graph,
 }
 
 ORACLES: dict[str, str] = {
@@ -127,4 +133,5 @@ ORACLES: dict[str, str] = {
     "op8_mix_sources": sql.MIX_SOURCES,
     "op9_secret_scan": sql.SECRET_SCAN,
     "op11_prefix_trie": sql.PREFIX_TRIE,
+    "op13_phrase_graph": sql.PHRASE_GRAPH,
 }

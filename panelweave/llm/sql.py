@@ -274,3 +274,37 @@ FROM nodes n JOIN summed s ON s.prefix = n.prefix
 LEFT JOIN children c ON c.prefix = n.prefix
 LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = n.prefix[1:n.depth - 1]
 """
+
+PHRASE_GRAPH = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+),
+worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS words FROM pieces),
+runs AS (
+  SELECT lang, words[i:i + k - 1] AS run, count(*) AS a
+  FROM worded, LATERAL unnest([1, 2, 3, 4]) AS s(k), LATERAL unnest(range(1, len(words) - k + 2)) AS t(i)
+  GROUP BY ALL
+),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM runs WHERE len(run) = 1 GROUP BY lang),
+candidates AS (SELECT * FROM runs WHERE len(run) > 1 AND a >= 30),
+cuts AS (
+  SELECT c.lang, c.run, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a::HUGEINT + y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(run))) AS k FROM candidates) c
+  JOIN runs x ON x.lang = c.lang AND x.run = c.run[1:c.k]
+  JOIN runs y ON y.lang = c.lang AND y.run = c.run[c.k + 1:]
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, run ORDER BY score, k) = 1),
+held AS (
+  SELECT lang, run[i:i + m - 1] AS run, max(a) AS longer
+  FROM candidates, LATERAL unnest([2, 3]) AS s(m), LATERAL unnest(range(1, len(run) - m + 2)) AS t(i)
+  WHERE len(run) > m GROUP BY ALL
+),
+kept AS (
+  SELECT w.*, array_to_string(w.run, ' ') AS phrase FROM lowest w LEFT JOIN held h ON h.lang = w.lang AND h.run = w.run
+  WHERE h.longer IS NULL OR 100::HUGEINT * h.longer < 80::HUGEINT * w.a
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
