@@ -63,10 +63,10 @@ shift_hours AS (
 
 _TARGETS = f"""
 targets AS (
-  SELECT b.*, {", ".join(f"t{h}.flag AS y_{h}" for h in range(1, 13))}
-  FROM flags b {" ".join(
-      f"LEFT JOIN flags t{h} ON t{h}.entity = b.entity AND t{h}.month = b.month + INTERVAL {h} MONTH"
-      for h in range(1, 13))})"""
+  SELECT *, {", ".join(
+      f"max(flag) OVER (PARTITION BY entity ORDER BY month_idx RANGE BETWEEN {h} FOLLOWING AND {h} FOLLOWING) AS y_{h}"
+      for h in range(1, 13))}
+  FROM flags)"""
 
 _SCORES = """
 scores AS (
@@ -430,6 +430,13 @@ SELECT horizon, label, prediction, count(*) AS rows, min(score) AS lowest_score
 FROM decided GROUP BY horizon, label, prediction"""
 ORACLES["f1_by_fold_and_horizon"] = _METRICS + """
 SELECT fold, horizon, tp, fp, fn, round(f1, 6) AS f1 FROM f1"""
+ORACLES["auc_by_fold_and_horizon"] = _with(_SCORES) + """
+SELECT fold, horizon, CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives,
+       round(sum(pos * below) / nullif(sum(pos) * sum(neg), 0), 6) AS auc
+FROM (
+  SELECT *, sum(neg) OVER (PARTITION BY fold, horizon ORDER BY score) - neg / 2.0 AS below
+  FROM (SELECT fold, horizon, score, sum(label) AS pos, count(*) - sum(label) AS neg FROM scores GROUP BY ALL))
+GROUP BY fold, horizon"""
 ORACLES["mean_f1"] = _METRICS + """
 SELECT horizon, round(avg(f1), 6) AS f1 FROM f1 GROUP BY horizon"""
 ORACLES["ensemble_mean_scores"] = """
@@ -446,22 +453,36 @@ SELECT * FROM roles WHERE role IS NOT NULL"""
 ORACLES["fold_sizes"] = _with(_LOG, _SPINE, _FLAGS, _FOLDS) + """
 SELECT fold, count(*) FILTER (role = 'train') AS train_rows, count(*) FILTER (role = 'test') AS test_rows
 FROM roles GROUP BY fold"""
-ORACLES["stratified_split"] = """
-WITH rows AS (
-  SELECT o_orderkey AS event, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders),
-totals AS (SELECT count(*) AS n, count(*) - ceil(0.33 * count(*)) AS n_train FROM rows),
-shares AS (
+
+
+def _split_sql(name: str, label: str) -> str:
+    return f"""
+{name}_rows AS (SELECT o_orderkey AS event, {label} AS label FROM orders WHERE {label} IS NOT NULL),
+{name}_totals AS (SELECT count(*) AS n, count(*) - ceil(0.33 * count(*)) AS n_train FROM {name}_rows),
+{name}_shares AS (
   SELECT label, count(*) AS k, floor(count(*) * any_value(n_train) / any_value(n)) AS base,
          (count(*) * any_value(n_train)) % any_value(n) AS remainder
-  FROM rows, totals GROUP BY label),
-quotas AS (
+  FROM {name}_rows, {name}_totals GROUP BY label),
+{name}_quotas AS (
   SELECT label, k - base - CASE WHEN row_number() OVER (ORDER BY remainder DESC, label)
-                                     <= (SELECT any_value(n_train) FROM totals) - (SELECT sum(base) FROM shares)
+                                     <= (SELECT any_value(n_train) FROM {name}_totals) - (SELECT sum(base) FROM {name}_shares)
                                 THEN 1 ELSE 0 END AS quota
-  FROM shares)
-SELECT event, CAST(r.label AS INTEGER) AS label, CAST(CASE WHEN rank <= quota THEN 1 ELSE 0 END AS INTEGER) AS is_test
-FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', CAST(event AS VARCHAR), '42'))) AS rank
-      FROM rows) r JOIN quotas USING (label)"""
+  FROM {name}_shares),
+{name} AS (
+  SELECT event, CAST(r.label AS INTEGER) AS label, CAST(CASE WHEN rank <= quota THEN 1 ELSE 0 END AS INTEGER) AS is_test
+  FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', CAST(event AS VARCHAR), '42'))) AS rank
+        FROM {name}_rows) r JOIN {name}_quotas USING (label))"""
+
+
+ORACLES["stratified_split"] = _with(_split_sql("split", "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END")) + "SELECT * FROM split"
+_SPLITS = {
+    "is_F": "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END",
+    "is_O": "CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END",
+    "is_first": "CASE WHEN o_orderstatus <> 'O' THEN CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END END",
+}
+ORACLES["stratified_splits"] = _with(*[_split_sql(f"split_{y}", label) for y, label in _SPLITS.items()]) + f"""
+SELECT o_orderkey AS event, {", ".join(f"split_{y}.label AS {y}, split_{y}.is_test AS is_test_{y}" for y in _SPLITS)}
+FROM orders {" ".join(f"LEFT JOIN split_{y} ON split_{y}.event = o_orderkey" for y in _SPLITS)}"""
 
 # --- export ----------------------------------------------------------------------------
 
@@ -514,3 +535,68 @@ ORACLES["ensemble_row_mean"] = """
 SELECT l_orderkey AS entity, l_linenumber AS horizon,
        round((l_quantity / 50 + l_discount * 10 + l_tax * 10) / 3, 6) AS score
 FROM lineitem"""
+
+# Every cut of every feature, with missing values on either side, weighed by regularised gains.
+_SHRUNK = "(sign({g}) * greatest(abs({g}) - 2.5, 0))"
+
+
+def _output(g: str, h: str) -> str:
+    return f"(-{_SHRUNK.format(g=g)} / ({h} + 5.5))"
+
+
+def _smoothed(g: str, h: str, n: str) -> str:
+    return f"({_output(g, h)} * ({n} / 2.775) / ({n} / 2.775 + 1) + {_output('tg', 'th')} / ({n} / 2.775 + 1))"
+
+
+def _gain(g: str, h: str, output: str) -> str:
+    return f"(-(2 * {_SHRUNK.format(g=g)} * {output} + ({h} + 5.5) * {output} * {output}))"
+
+
+ORACLES["first_splits"] = _with(_LOG, _SPINE, _FLAGS, _TARGETS).rstrip() + f""",
+inputs AS (
+  SELECT *, month(month) AS calendar_month, entity % 7 AS bucket,
+         CASE WHEN entity % 3 <> 0 THEN (entity * 7 + month_idx) % 10 END AS noise
+  FROM targets),
+labelled AS (
+  SELECT t.horizon, t.y, i.flag, i.calendar_month, i.bucket, i.noise
+  FROM inputs i, LATERAL (VALUES {", ".join(f"({h}, i.y_{h})" for h in range(1, 13))}) t(horizon, y) WHERE t.y IS NOT NULL),
+gradients AS (
+  SELECT l.*, round((p - y) * 16777216) / 16777216 AS g, round(p * (1 - p) * 16777216) / 16777216 AS h
+  FROM labelled l JOIN (SELECT horizon, avg(y) AS p FROM labelled GROUP BY horizon) USING (horizon)),
+totals AS (SELECT horizon, sum(g) AS tg, sum(h) AS th, count(*) AS tn FROM gradients GROUP BY horizon),
+cells AS (
+  SELECT horizon, f.i, f.feature, f.value, sum(g) AS g, sum(h) AS h, count(*) AS n
+  FROM gradients, LATERAL (VALUES (0, 'flag', flag), (1, 'calendar_month', calendar_month), (2, 'bucket', bucket),
+                                  (3, 'noise', noise)) f(i, feature, value)
+  GROUP BY ALL),
+known AS (
+  SELECT horizon, i, feature, value, lead(value) OVER w AS next, sum(g) OVER w AS g, sum(h) OVER w AS h, sum(n) OVER w AS n
+  FROM cells WHERE value IS NOT NULL WINDOW w AS (PARTITION BY horizon, i ORDER BY value)),
+sides AS (
+  SELECT k.horizon, k.i, k.feature, k.value, k.next, s.missing_left, t.*  EXCLUDE (horizon),
+         k.g + s.missing_left * coalesce(m.g, 0) AS lg, k.h + s.missing_left * coalesce(m.h, 0) AS lh,
+         k.n + s.missing_left * coalesce(m.n, 0) AS ln
+  FROM known k JOIN totals t USING (horizon)
+  LEFT JOIN cells m ON m.horizon = k.horizon AND m.i = k.i AND m.value IS NULL
+  JOIN (VALUES (0), (1)) s(missing_left) ON s.missing_left = 0 OR m.n IS NOT NULL),
+paired AS (SELECT *, tg - lg AS rg, th - lh AS rh, tn - ln AS rn FROM sides),
+outputs AS (
+  SELECT *, {_smoothed("lg", "lh", "ln")} AS left_output, {_smoothed("rg", "rh", "rn")} AS right_output
+  FROM paired WHERE ln >= 50 AND rn >= 50),
+gains AS (
+  SELECT *, {_gain("lg", "lh", "left_output")} + {_gain("rg", "rh", "right_output")}
+            - {_gain("tg", "th", _output("tg", "th"))} AS gain
+  FROM outputs),
+best AS (SELECT * FROM gains WHERE gain > 0
+         QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY gain DESC, i, missing_left, value) = 1)
+SELECT horizon, feature, round(value / 2.0 + next / 2.0, 6) AS edge, missing_left, round(gain, 6) AS gain,
+       round(left_output, 6) AS left_output, round(right_output, 6) AS right_output
+FROM best"""
+
+_BLOCKS = {block: f"panel_history_{block}" for block in HISTORIES}
+_HISTORY_NAMES = {n for block in HISTORIES.values() for col in block for n in history_names(col)}
+ORACLES["panel_whole"] = f"""
+SELECT {", ".join("a." + c for c in PANEL_COLUMNS if c not in _HISTORY_NAMES)}, CAST(month(a.month) AS INTEGER) AS calendar_month,
+       {", ".join(f"{block}.* EXCLUDE (entity, month)" for block in _BLOCKS)}
+FROM ({ORACLES["assemble_panel"]}) a
+{" ".join(f"JOIN ({ORACLES[q]}) {block} ON {block}.entity = a.entity AND {block}.month = a.month" for block, q in _BLOCKS.items())}"""

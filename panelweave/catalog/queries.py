@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from panelweave import operators as op
 from panelweave.catalog import standins as st
@@ -22,15 +22,20 @@ from panelweave.functions import (
     threshold_bins,
 )
 from panelweave.models import (
+    Booster,
     BoostingParams,
     ForestBaseline,
     HorizonForecaster,
     backtest,
     backtest_f1,
+    encoded,
     ensemble_mean,
     ensemble_scores,
+    fit_bins,
+    fit_boosters,
+    training_table,
 )
-from panelweave.plans import build_panel, forecast_template
+from panelweave.plans import build_panel, feature_columns, forecast_template
 from panelweave.sources import read_delimited, stage, staging_path, write_delimited
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -389,6 +394,24 @@ def time_split(spark, sf):
     )
 
 
+@query
+def panel_whole(spark, sf):
+    """All columns of the panel in one run."""
+    histories = {n for block in HISTORIES.values() for col in block for n in op.history_columns(col)}
+    panel = _panel(spark, sf)
+    columns = [
+        F.round(F.col(f.name).cast("double") + NUDGE, DIGITS).alias(f.name)
+        if f.name in histories
+        else F.round(f.name, DIGITS).alias(f.name)
+        if isinstance(f.dataType, DoubleType)
+        else F.col(f.name).cast("int").alias(f.name)
+        if isinstance(f.dataType, BooleanType)
+        else F.col(f.name)
+        for f in panel.schema
+    ]
+    return panel.select(*columns)
+
+
 # --- metrics ---------------------------------------------------------------------------
 
 
@@ -423,6 +446,11 @@ def f1_by_fold_and_horizon(spark, sf):
     return rounded(op.f1_by(_decided(spark, sf)))
 
 
+@query
+def auc_by_fold_and_horizon(spark, sf):
+    return rounded(op.auc_by(st.line_scores(spark, sf)))
+
+
 @query
 def mean_f1(spark, sf):
     return rounded(op.mean_f1(op.f1_by(_decided(spark, sf))))
@@ -455,6 +483,17 @@ def stratified_split(spark, sf):
     return split.withColumn("is_test", F.col("is_test").cast("int"))
 
 
+@query
+def stratified_splits(spark, sf):
+    """Three labels of the log split at once, one of them unknown for some rows."""
+    kinds = {f"is_{s}": (F.col("category") == s).cast("int") for s in st.STATUSES[:2]}
+    dear = F.when(F.col("hours").isNotNull(), F.col("shift_kind").startswith("1").cast("int"))
+    log = st.event_log(spark, sf).select("event", *[c.alias(n) for n, c in kinds.items()], dear.alias("is_first"))
+    labels = [*kinds, "is_first"]
+    split = op.stratified_splits(log, labels, ["event"])
+    return split.withColumns({f"is_test_{y}": F.col(f"is_test_{y}").cast("int") for y in labels})
+
+
 # --- export ----------------------------------------------------------------------------
 
 
@@ -482,7 +521,9 @@ def delimited_round_trip(spark, sf):
 
 # --- models: checked by row counts and the tests' invariants ------------------------------
 
-FEATURES = [
+#: All settings of the full job but its 100 rounds, whose time is in the README.
+FORECAST = BoostingParams(rounds=3)
+FOREST_FEATURES = [
     "age",
     "gender",
     "experience",
@@ -494,41 +535,39 @@ FEATURES = [
     "children_6",
     *[f"month_{m}" for m in range(1, 13)],
 ]
-SMALL = BoostingParams(rounds=2, max_depth=2, max_bins=32, min_rows=20)
-
-
-def _panel_with_features(spark, sf) -> DataFrame:
-    return _panel(spark, sf).select("entity", "month", *FEATURES, *op.label_columns())
 
 
-def _forecaster() -> HorizonForecaster:
-    return HorizonForecaster(FEATURES, SMALL)
+def _forecaster(panel: DataFrame) -> HorizonForecaster:
+    return HorizonForecaster(feature_columns(panel, st.SPEC), FORECAST)
 
 
 @query
 def fit_horizons(spark, sf):
     """Thresholds and validation F1 of twelve fitted horizons."""
-    train, _ = op.time_split(_panel_with_features(spark, sf), "month", CUTOFF, op.label_columns())
-    return _forecaster().fit(train).thresholds
+    train, _ = op.time_split(_panel(spark, sf), "month", CUTOFF, op.label_columns())
+    train = stage(train, "panel")
+    return _forecaster(train).fit(train).thresholds
 
 
 @query
 def forecast_long(spark, sf):
     """Twelve months for the customers of the cutoff month, merged into the template."""
     template = st.template(spark, sf).withColumnRenamed("date", "month")
-    return forecast_template(_panel_with_features(spark, sf), template, CUTOFF, _forecaster())
+    panel = _panel(spark, sf)
+    return forecast_template(panel, template, CUTOFF, _forecaster(panel))
 
 
 @query
 def backtest_f1_scores(spark, sf):
-    preds = backtest(_panel_with_features(spark, sf), POINTS, _forecaster)
+    panel = _panel(spark, sf)
+    preds = backtest(panel, POINTS, lambda: _forecaster(panel))
     return backtest_f1(preds)[0]
 
 
 @query
 def fit_forest_baseline(spark, sf):
-    panel = stage(_panel_with_features(spark, sf), "panel")
-    forest = ForestBaseline(FEATURES, trees=3, max_depth=3)
+    panel = stage(_panel(spark, sf).select("entity", "month", *FOREST_FEATURES, *op.label_columns()), "panel")
+    forest = ForestBaseline(FOREST_FEATURES, trees=3, max_depth=3)
     train, current = op.time_split(panel, "month", CUTOFF, forest.required_labels)
     return forest.fit(train).predict(current)
 
@@ -553,7 +592,7 @@ def _known_panel(spark, sf) -> DataFrame:
 
 def _known_forecaster() -> HorizonForecaster:
     params = BoostingParams(rounds=2, max_depth=3, max_bins=16, min_rows=5, feature_fraction=1.0)
-    return HorizonForecaster(KNOWN, params, flag_missing=["noise"])
+    return HorizonForecaster(KNOWN, params)
 
 
 @query
@@ -588,6 +627,37 @@ def backtest_known_flag(spark, sf):
     )
 
 
+SPLIT_FEATURES = ["flag", "calendar_month", "bucket", "noise"]
+SPLIT = BoostingParams(
+    rounds=1, learning_rate=1.0, max_depth=1, min_rows=50, feature_fraction=1.0, l1=2.5, l2=5.5, path_smooth=2.775
+)
+
+
+@query
+def first_splits(spark, sf):
+    """The first split of a regularised booster for each horizon: place, side of missing values, gain and leaves."""
+    rows = op.horizon_targets(st.flags(spark, sf), "entity", "month_idx", "flag").withColumns(
+        {
+            "calendar_month": F.month("month"),
+            "bucket": F.col("entity") % 7,
+            "noise": F.when(F.col("entity") % 3 != 0, (F.col("entity") * 7 + F.col("month_idx")) % 10),
+        }
+    )
+    labels = op.label_columns()
+    rows = stage(rows.select("month", *SPLIT_FEATURES, *labels), "split-rows")
+    bins = fit_bins(rows, SPLIT_FEATURES, SPLIT.max_bins)
+    table = training_table(stage(encoded(rows, bins, ["month", *labels]), "split-codes"), "month", labels)
+    found = []
+    for h, booster in enumerate(fit_boosters(table, bins, labels, [Booster(y, SPLIT) for y in labels]), 1):
+        for tree in booster.trees:
+            edges = bins.edges[tree.feature[0]]
+            edge = float(edges[tree.cut[0]]) if tree.cut[0] < len(edges) else None
+            name = SPLIT_FEATURES[tree.feature[0]]
+            found.append((h, name, edge, int(tree.missing_left[0]), tree.gain[0], *tree.output[1:]))
+    schema = "horizon int, feature string, edge double, missing_left int, gain double, left_output double, right_output double"
+    return rounded(spark.createDataFrame(found, schema))
+
+
 @query
 def predictions_by_row(spark, sf):
     """Every line's decision, under the thresholds of its horizon."""

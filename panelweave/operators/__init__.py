@@ -45,11 +45,12 @@ from panelweave.operators.history import (
 )
 from panelweave.operators.metrics import (
     apply_thresholds,
+    auc_by,
     best_f1_threshold,
     f1_by,
     mean_f1,
     threshold_curve,
 )
-from panelweave.operators.sampling import stratified_split
+from panelweave.operators.sampling import stratified_split, stratified_splits
 
 __all__ = [name for name in dir() if not name.startswith("_")]
