@@ -1,9 +1,9 @@
 """The same results in DuckDB SQL, written by other means than the Spark queries:
-self-joins for targets, grouped joins for peers, differences of row numbers for streaks."""
+range frames for targets, grouped joins for peers, differences of row numbers for streaks."""
 
 from __future__ import annotations
 
-from panelweave.catalog.queries import CUTOFF, HISTORIES, NUDGE, PANEL_COLUMNS, POINTS
+from panelweave.catalog.queries import CUTOFF, HARD_TEXTS, HISTORIES, NUDGE, PANEL_COLUMNS, POINTS
 from panelweave.catalog.standins import SEGMENTS, SHIFT_VALUES, STATUSES, YEARS
 from panelweave.operators.history import MEAN_TRENDS, PERIODS, STD_TRENDS
 
@@ -503,6 +503,12 @@ LEFT JOIN long USING (entity, date)"""
 ORACLES["delimited_round_trip"] = _with(_LOG) + """
 SELECT event, entity, day, shift_kind, category, hours FROM log"""
 
+_NOTES = " ".join(f"WHEN {i} THEN '{t.encode().hex().upper()}'" for i, t in enumerate(HARD_TEXTS))
+ORACLES["delimited_hard_text"] = f"""
+SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS text_length,
+       CASE doc_id % {len(HARD_TEXTS) + 1} {_NOTES} END AS note_hex, lang
+FROM documents"""
+
 # --- models whose every prediction is known ----------------------------------------------
 
 _AHEAD = """

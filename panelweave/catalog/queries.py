@@ -519,6 +519,22 @@ def delimited_round_trip(spark, sf):
     return back.withColumn("hours", parse_decimal(F.col("hours")))
 
 
+#: What a field may hold besides plain text.
+HARD_TEXTS = ['a "quoted" word', "semi;colon; twice", " blanks around ", "", '"', 'back\\slash\\', "line\nbreak\n", ";"]
+
+
+@query
+def delimited_hard_text(spark, sf):
+    """Whole documents, and texts made of what CSV treats specially, through a `;` file."""
+    kind = (F.col("doc_id") % (len(HARD_TEXTS) + 1)).cast("int")
+    note = F.get(F.array(*[F.lit(t) for t in HARD_TEXTS]), kind)  # the last kind has none: NULL
+    rows = st.table(spark, sf, "documents").select("doc_id", "text", note.alias("note"), "lang")
+    path = staging_path(spark, "documents-csv")
+    write_delimited(rows, path)
+    back = read_delimited(spark, path, rows.schema, multiline=True)
+    return back.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("text_length"), F.hex("note").alias("note_hex"), "lang")
+
+
 # --- models: checked by row counts and the tests' invariants ------------------------------
 
 #: All settings of the full job but its 100 rounds, whose time is in the README.

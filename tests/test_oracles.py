@@ -31,7 +31,7 @@ def canonical(frame):
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
-    for t in ("orders", "customer", "lineitem"):
+    for t in ("orders", "customer", "lineitem", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con
 
