@@ -168,18 +168,27 @@ class Model:
     languages: list[str]
     pieces: Pieces
     chances: np.ndarray
+    #: Mean log chance of a sign in each language's own training words.
+    usual: np.ndarray
 
-    def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Log chance of every text in every language."""
+    def scores(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log chance of every text in every language, and the signs that it was given for."""
         data, starts, sizes, text = words_of(data, bounds)
         out = np.zeros((len(bounds) - 1, len(self.languages)))
+        signs = np.bincount(text, _signs(data, starts, sizes), minlength=len(out))
         first, which = _distinct(data, starts, sizes)
         if len(first):
             lattice = Lattice(data, starts[first], sizes[first], self.pieces)
             logs = np.log(np.maximum(lattice.totals(lattice.forward(self.chances)), 1e-300))
             for k in range(out.shape[1]):
                 out[:, k] = np.bincount(text, logs[which, k], minlength=len(out))
-        return out
+        return out, signs
+
+
+def _signs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Characters of every word, and one for the space before it."""
+    ends = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    return ends[starts + sizes] - ends[starts] + 1.0
 
 
 def fit(counts: pa.Table, pieces: Pieces, size: int) -> Model:
@@ -200,7 +209,12 @@ def fit(counts: pa.Table, pieces: Pieces, size: int) -> Model:
             own = used / np.maximum(used.sum(axis=0), 1e-300)
             pooled = own.mean(axis=1, keepdims=True)
             chances = (1 - POOLED - FLAT) * own + POOLED * pooled + FLAT / size
-    return Model(languages, pieces, chances)
+        logs = np.log(np.maximum(lattice.totals(lattice.forward(chances)), 1e-300))
+        signs = _signs(data, bounds[:-1], np.diff(bounds))
+        usual = (weights * logs).sum(axis=0) / (weights * signs[:, None]).sum(axis=0)
+    else:
+        usual = np.full(len(languages), -1.0)
+    return Model(languages, pieces, chances, usual)
 
 
 def held_out(doc: Column) -> Column:
@@ -251,22 +265,29 @@ def _predict(model: Model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = texts.text_bytes(pa.chunked_array([batch["_text"]]))
-            scores = [np.zeros((0, len(model.languages)))]
+            scores, signs = [np.zeros((0, len(model.languages)))], [np.zeros(0)]
             for low, high in windows.batches(np.diff(bounds), BATCH):
                 begin, end = bounds[low], bounds[high]
-                scores.append(model.scores(data[begin:end], bounds[low : high + 1] - begin))
-            logs = np.concatenate(scores)
+                for out, found in zip((scores, signs), model.scores(data[begin:end], bounds[low : high + 1] - begin)):
+                    out.append(found)
+            logs, size = np.concatenate(scores), np.concatenate(signs)
             letters = texts.numbers(pa.chunked_array([batch["_letters"]]), bool) & bool(model.languages)
             best = logs.argmax(axis=1) if model.languages else np.zeros(len(logs), np.int64)
             if model.languages:
                 shares = np.exp(logs - logs.max(axis=1, keepdims=True))
                 score = shares.max(axis=1) / shares.sum(axis=1)
+                strange = logs.max(axis=1) / np.maximum(size, 1) / model.usual[best]
             else:
-                score = np.zeros(len(logs))
+                score = strange = np.zeros(len(logs))
             names = [model.languages[k] if known else UNKNOWN for k, known in zip(best.tolist(), letters.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch["_doc"], pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))],
-                ["_doc", "lang_pred", "score"],
+                [
+                    batch["_doc"],
+                    pa.array(names, pa.string()),
+                    pa.array(np.where(letters, score, 0.0)),
+                    pa.array(strange, pa.float64(), mask=~(letters & (size > 0))),
+                ],
+                ["_doc", "lang_pred", "score", "strangeness"],
             )
 
     return predict
@@ -281,12 +302,18 @@ def language_id(
     path: str = VOCABULARY,
     sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``lang_pred`` and ``score``, the chance of that language among all.
+    """One row per row of ``docs``: ``lang_pred``, ``score``, the chance of that language among all, ``strangeness``.
 
     ``labelled`` (by default ``docs`` without the held-out rows) gives the training texts. Of every
     text all words count, as lower-case letter runs; each word's chance in a language is the sum
     over all its segmentations into vocabulary pieces. Languages are equally likely beforehand.
 
+    The score compares the learned languages only. ``strangeness`` tells how well the best one
+    fits at all: the mean log chance of the text's signs, as a multiple of what it is in that
+    language's training words. It is about 1 for texts like those, 2 to 3 for other texts of
+    the language or close relatives, more for other languages, scripts and letter junk; it does not
+    grow with the length. A text without words has none.
+
     A text that is missing or has no letter is ``und`` with score 0, and so is every text if
     nothing is labelled. Equal chances go to the first language by name. Missing ids are kept,
     repeated rows are judged each; other columns are ignored; an empty table gives an empty result.
@@ -306,6 +333,7 @@ def language_id(
             StructField("_doc", picked.schema["_doc"].dataType),
             StructField("lang_pred", StringType()),
             StructField("score", DoubleType()),
+            StructField("strangeness", DoubleType()),
         ]
     )
     return picked.mapInArrow(_predict(model), kinds).withColumnRenamed("_doc", doc)

@@ -34,7 +34,7 @@ def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = language_id(_table(spark, sf_dir, "documents"))
-    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "strangeness")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
