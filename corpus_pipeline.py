@@ -17,8 +17,9 @@ from panelweave.llm.mix_sources import mix_sources
 from panelweave.llm.secret_scan import secret_scan
 from panelweave.sources import stage
 
-#: Least chance of the best language among the learned ones. It says nothing of other languages: their texts mostly stay.
-LEAST_CHANCE = 0.5
+#: A document goes if its signs are less likely than this multiple of what they are in the labelled texts of
+#: its best language: other languages and scripts, letter junk. See ``language_id`` for what is usual.
+MOST_STRANGE = 3.0
 #: Benchmark items with fewer words are common phrases; a document is not dropped for them.
 LEAST_ITEM_WORDS = 4
 FILE, ROW = "_stage_file", "_stage_row"
@@ -46,11 +47,16 @@ def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a learned language; texts without a letter or a likely language go."""
+    """Keep documents in a learned language; texts without a letter go, and those that are strange to all of them.
+
+    Rows go by themselves: missing or repeated ids, ties and extra columns of any name change nothing.
+    """
     whole = docs.select(F.struct("*").alias(ROW), "text")
     learned = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias(ROW), "text", "lang")
     judged = language_id(whole, learned, doc=ROW)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_CHANCE)).select(f"{ROW}.*")
+    # A text whose letters are no words for the operator is not judged strange.
+    fits = F.coalesce(F.col("strangeness") <= MOST_STRANGE, F.lit(True))
+    return judged.where((F.col("lang_pred") != UNKNOWN) & fits).select(f"{ROW}.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
