@@ -24,6 +24,9 @@ LEAST_WORDS, ONE_LOST = 8, 10
 #: Bytes of benchmark text that are broadcast at once. A larger benchmark goes in several passes.
 BLOCK_BYTES = 8 << 20
 
+#: Hits of seeds, and words of items laid along documents, that are handled at once.
+HITS = 1 << 21
+
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -69,51 +72,61 @@ class SeedIndex:
             table[each >> np.uint64(64 - bits)] = True
             self.masks.append((mask, bits, table, each, at, item))
 
-    def diagonals(self, symbols: np.ndarray) -> np.ndarray:
-        """Unique (document word that an item's first word falls on, item, a word that was hit)."""
-        found = []
+    def diagonals(self, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where items meet documents: item, document, and document word that the item's first word falls on, each once.
+
+        A seed that many items share meets every repeat of it in a text; hits are made unique in
+        portions, so memory follows the places and not the hits.
+        """
+        n, longest = len(self.ids), int(np.diff(self.bounds).max(initial=0))
+        span = len(symbols) + longest + 1
+        places = [np.empty(0, np.int64)]
         for mask, bits, table, each, at, item in self.masks:
             mine = seeds(symbols, mask)
             maybe = np.flatnonzero(table[mine >> np.uint64(64 - bits)])
             low = np.searchsorted(each, mine[maybe], side="left")
             count = np.searchsorted(each, mine[maybe], side="right") - low
-            hit = texts.ranges(low, count)
-            word = np.repeat(maybe, count)
-            found.append(np.stack((word - at[hit], item[hit], word), axis=1))
-        rows = np.concatenate(found)
-        order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
-        return rows[order]
-
-    def verified(self, symbols: np.ndarray, doc: tuple[int, int], first: int, item: int) -> np.ndarray:
-        """Words of the document that overlap the item closely enough, when laid at ``first``."""
+            doc = np.searchsorted(bounds, maybe, side="right") - 1
+            portion = np.cumsum(count) // HITS
+            for i, j in zip(cuts := texts.runs(portion), cuts[1:]):
+                hit = texts.ranges(low[i:j], count[i:j])
+                first = np.repeat(maybe[i:j], count[i:j]) - at[hit] + longest
+                places.append(np.unique((item[hit] * (len(bounds) + 1) + np.repeat(doc[i:j], count[i:j])) * span + first))
+        place = np.unique(np.concatenate(places))
+        rest, first = place // span, place % span - longest
+        return rest // (len(bounds) + 1), rest % (len(bounds) + 1), first
+
+    def verified(self, symbols: np.ndarray, bounds: np.ndarray, item: int, doc: np.ndarray, first: np.ndarray):
+        """The places of an item that overlap a document closely enough: which ones, and the words that do."""
         length = int(self.bounds[item + 1] - self.bounds[item])
-        low, high = max(first, doc[0]), min(first + length, doc[1])
         width = min(WINDOW, length)
-        if high - low < width:
-            return np.empty(0, np.int64)
-        begin = int(self.bounds[item]) + low - first
-        same = symbols[low:high] == self.symbols[begin : begin + high - low]
-        total = np.concatenate(([0], np.cumsum(same)))
         least = EQUAL if length >= WINDOW else width - (length >= ONE_LOST)
-        good = np.flatnonzero(total[width:] - total[:-width] >= least)
-        if len(good) == 0:
-            return good
-        cover = np.zeros(high - low + 1, np.int64)
-        cover[good] += 1
-        np.add.at(cover, good + width, -1)
-        return low + np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+        own = self.symbols[self.bounds[item] : self.bounds[item + 1]]
+        for low in range(0, len(first), max(1, HITS // length)):
+            part = slice(low, low + max(1, HITS // length))
+            words = first[part, None] + np.arange(length)
+            inside = (words >= bounds[doc[part], None]) & (words < bounds[doc[part] + 1, None])
+            same = inside & (symbols[np.where(inside, words, 0)] == own)
+            sums = [np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1) for x in (same, inside)]
+            equal, within = (x[:, width:] - x[:, :-width] for x in sums)
+            good = (equal >= least) & (within == width)
+            # Every word of a good window: windows that began and have not ended.
+            steps = np.zeros((len(words), length + 1), np.int64)
+            steps[:, : good.shape[1]] += good
+            steps[:, width : width + good.shape[1]] -= good
+            place, word = np.nonzero(np.cumsum(steps[:, :-1], axis=1) > 0)
+            yield low + place, words[place, word]
 
     def overlaps(self, symbols: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], list[np.ndarray]]:
         """Overlapping words by (document, item)."""
         out: dict[tuple[int, int], list[np.ndarray]] = {}
-        tried = None
-        for first, item, word in self.diagonals(symbols).tolist():
-            d = int(np.searchsorted(bounds, word, side="right")) - 1
-            if tried != (first, item, d):
-                tried = (first, item, d)
-                words = self.verified(symbols, (int(bounds[d]), int(bounds[d + 1])), first, item)
-                if len(words):
-                    out.setdefault((d, item), []).append(words - bounds[d])
+        item, doc, first = self.diagonals(symbols, bounds)
+        for low, high in zip(cuts := texts.runs(item), cuts[1:]):
+            for place, words in self.verified(symbols, bounds, int(item[low]), doc[low:high], first[low:high]):
+                of = doc[low:high][place]  # ascending
+                for a, b in zip(ends := texts.runs(of), ends[1:]):
+                    if b > a:
+                        out.setdefault((int(of[a]), int(item[low])), []).append(words[a:b] - bounds[of[a]])
         return out
 
 

@@ -1,10 +1,13 @@
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from panelweave.llm import queries
+from panelweave.llm.decontaminate import SeedIndex, words_of
 from panelweave.llm.pii import find, luhn, mod97
 from panelweave.llm.secret_scan import secret_scan
 
@@ -78,3 +81,17 @@ def test_checksums_and_context():
     assert kinds("bank account GB82 WEST 1234 5698 7654 32.") == [("iban", 1.0)]
     assert kinds("123-45-6789") == [] and kinds("my ssn 123-45-6789") == [("id_number", 0.7)]
     assert kinds("phone +1 555 123 4567") == [("phone", 0.7)] and kinds("test +1 555 123 4567") == [("phone", 0.3)]
+
+
+def test_templates_that_many_items_share_and_a_text_repeats():
+    template = " ".join(f"t{i}" for i in range(20))
+    index = SeedIndex(list(range(300)), [f"{template} own{i} a{i} b{i}" for i in range(300)], 8)
+    text = " ".join(f"{template} z{j}" for j in range(300)).encode()
+    symbols, bounds = words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    start = time.perf_counter()
+    found = index.overlaps(symbols, bounds)
+    assert time.perf_counter() - start < 10
+    assert len(found) == 300
+    for words in found.values():
+        # All of the template, and up to two words behind it that a window overlooks.
+        assert set(range(20)) <= set(np.concatenate(words).tolist()) and len(np.unique(np.concatenate(words))) >= 20 * 300
