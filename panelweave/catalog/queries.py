@@ -538,7 +538,7 @@ def delimited_hard_text(spark, sf):
 # --- models: checked by row counts and the tests' invariants ------------------------------
 
 #: All settings of the full job but its 100 rounds, whose time is in the README.
-FORECAST = BoostingParams(rounds=3)
+FORECAST = BoostingParams(rounds=1)
 FOREST_FEATURES = [
     "age",
     "gender",
