@@ -6,10 +6,11 @@ shorter *tail*. So shorter runs need no counting of their own: a run of three wo
 as the edges that leave its node weigh together, plus its tails; a run of two likewise by the
 runs of three that begin with it, a word by its runs of two.
 
-Only runs that occur ``least`` times are asked for, and no such run holds a rarer pair. Pairs are
-first counted in a fixed number of cells, and texts are cut at pairs whose whole cell is rarer, as
-they are at the ends of pieces. Sharing a cell only leaves a cut out, so counts stay exact, and
-most of a text's edges, which occur once, never leave their task.
+Only runs that occur ``least`` times are asked for, and no such run begins with a rarer one. So
+words and pairs, then triples, then whole edges are first counted in cells that several may share. An
+edge in a rarer cell is sent as the tail of its first three words, if their cell is rarer too of
+two or one, and a rarer word only counts as any word. Sharing a cell leaves a run longer than it need
+be and changes no count. Most of a text's edges occur once and so never leave their task.
 
 Nodes that one edge enters and one edge leaves, with nothing lost between, say nothing new: such
 unary paths are joined into single rows of many words, and their inner nodes, which occur
@@ -18,7 +19,8 @@ only inside longer runs, are no candidates.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -34,12 +36,15 @@ from panelweave.sources import stage
 
 #: Words of an edge.
 LONGEST = 4
-#: Cells that pairs are counted in, and cells of one row of counts. The table of frequent cells takes 8 MB at any scale.
-CELL_BITS, ROW_BITS = 26, 16
+#: Cells come in rows of this many. There is about one for each ``CELL_BYTES`` bytes of text, and at most
+#: 2 ** 30, whose bits take 128 MB; with more than some 10 ** 10 words cells fill up and the filter fades.
+ROW_BITS, CELL_BYTES, CELL_BITS = 16, 16, (20, 30)
+#: Runs that a task counts before it sends their cells.
+COUNTED = 1 << 22
 #: Counts of a task stop here; a cell that reaches it is frequent.
 FULL = 255
 #: Bytes of text handled at once, unless one text is longer.
-SLICE = 1 << 23
+SLICE = 1 << 22
 #: Edges of a compacted path in one row; a longer path takes several.
 PATH_EDGES = 1024
 NO_LANG = "und"
@@ -78,33 +83,83 @@ class _Words:
         stops = np.cumsum(stop)[starts] if len(starts) else starts
         self.joined = (np.diff(stops) == 0) & (np.diff(doc) == 0)
 
-    def cells(self, at: np.ndarray) -> np.ndarray:
-        """The cells of the pairs that begin at some words."""
-        names = np.array([xxhash.xxh3_64_intdigest(w) for w in self.names.to_pylist()], np.uint64)
-        langs = np.array([xxhash.xxh3_64_intdigest(x) for x in self.langs.to_pylist()], np.uint64)
-        first, second = names[self.word[at]], names[self.word[at + 1]]
-        return (mix(mix(first + langs[self.lang[at]]) * np.uint64(0x9E3779B97F4A7C15) + second) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    def hashes(self) -> Iterator[np.ndarray]:
+        """Of the runs of one word, two, three and so on that begin at each word, whether they fit there or not."""
+        names = np.array([xxhash.xxh3_64_intdigest(w) for w in self.names.to_pylist()], np.uint64)[self.word]
+        langs = np.array([xxhash.xxh3_64_intdigest(x) for x in self.langs.to_pylist()], np.uint64)[self.lang]
+        run = mix(langs + names)
+        while True:
+            yield run
+            names = np.append(names[1:], np.uint64(0))[: len(run)]
+            run = mix(run * np.uint64(0x9E3779B97F4A7C15) + names)
+
+    def reaches(self) -> Iterator[np.ndarray]:
+        """Whether a run of one word, two, three and so on that begins at a word stays in its piece."""
+        fits, joined = np.ones(len(self.word), bool), np.append(self.joined, False)[: len(self.word)]
+        while True:
+            yield fits
+            fits = fits & joined
+            joined = np.append(joined[1:], False)[: len(fits)]
+
+
+def _cells(run: np.ndarray, bits: int) -> np.ndarray:
+    return (run >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _is_frequent(cells: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    return (frequent[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
 
 
-def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << CELL_BITS, np.uint8)
-    for batch in batches:
-        for part in slices(batch, "text", SLICE):
-            words = _Words(part)
-            cells, n = np.unique(words.cells(np.flatnonzero(words.joined)), return_counts=True)
-            counts[cells] = np.minimum(counts[cells] + n, FULL)
-    # Rows of cells that occur, as places within the row and their counts.
-    places = np.flatnonzero(counts)
+def _count_cells(bits: int, lengths: Sequence[int], known: Sequence):
+    """Cells of runs of some lengths and their counts; runs whose shorter beginning is rare are left out."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                words = _Words(part)
+                going = np.ones(len(words.word), bool)
+                for length, run, fits in zip(range(1, max(lengths) + 1), words.hashes(), words.reaches()):
+                    going &= fits
+                    cells = _cells(run[going], bits)
+                    if length in lengths:
+                        held.append(cells)
+                        size += len(cells)
+                    else:
+                        going[going] = _is_frequent(cells, known[length - 1].value)
+                if size >= COUNTED:
+                    yield from _packed(held)
+                    held, size = [], 0
+        yield from _packed(held)
+
+    return count
+
+
+def _packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of cells that occur, as places within the row and their counts."""
+    places, n = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
+    n = np.minimum(n, FULL).astype(np.uint8)
     rows = places >> ROW_BITS
-    cuts = np.flatnonzero(np.diff(rows, prepend=-1, append=-1))
-    for a, b in zip(cuts, cuts[1:]):
-        at = (places[a:b] & ((1 << ROW_BITS) - 1)).astype("<u2")
-        packed = [at.tobytes(), counts[places[a:b]].tobytes()]
-        yield pa.record_batch([pa.array([int(rows[a])], pa.int32()), *(pa.array([p], pa.binary()) for p in packed)], ["row", "places", "counts"])
+    cuts = np.flatnonzero(np.diff(rows, prepend=-1, append=-1)) if len(rows) else np.empty(0, np.int64)
+    within = places & ((1 << ROW_BITS) - 1)
+    out = [(int(rows[a]), _steps(within[a:b]), n[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+    if out:
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["row", "places", "counts"])
+
+
+def _steps(places: np.ndarray) -> bytes:
+    """Ascending places as steps of one byte each, or of two where one is too long."""
+    steps = np.diff(places, prepend=0)
+    return (b"\1" if steps.max() < 256 else b"\2") + steps.astype("<u1" if steps.max() < 256 else "<u2").tobytes()
+
+
+def _places(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64))
 
 
 def _frequent_rows(least: int):
@@ -114,7 +169,7 @@ def _frequent_rows(least: int):
         row, total = None, np.zeros(1 << ROW_BITS, np.int64)
 
         def bits() -> pa.RecordBatch:
-            packed = np.packbits(total >= min(least, FULL)).tobytes()
+            packed = zlib.compress(np.packbits(total >= min(least, FULL)).tobytes(), 1)
             return pa.record_batch([pa.array([row], pa.int32()), pa.array([packed], pa.binary())], ["row", "bits"])
 
         for batch in batches:
@@ -123,66 +178,91 @@ def _frequent_rows(least: int):
                     if row is not None:
                         yield bits()
                     row, total[:] = r, 0
-                total[np.frombuffer(places, "<u2")] += np.frombuffer(counts, np.uint8)
+                total[_places(places)] += np.frombuffer(counts, np.uint8)
         if row is not None:
             yield bits()
 
     return add
 
 
-def frequent_cells(docs: DataFrame, least: int, text: str = "text", lang: str = "lang") -> np.ndarray:
-    """A bit per cell: whether pairs of words in it occur ``least`` times together."""
-    counted = _texts(docs, text, lang).mapInArrow(_count_cells, "row int, places binary, counts binary")
+def cell_bits(docs: DataFrame, text: str = "text") -> int:
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    return min(max((size // CELL_BYTES).bit_length(), CELL_BITS[0]), CELL_BITS[1])
+
+
+def frequent_cells(
+    docs: DataFrame, least: int, bits: int, lengths: Sequence[int], known: Sequence = (), text: str = "text", lang: str = "lang"
+) -> np.ndarray:
+    """A bit per cell: whether runs of some lengths in it occur ``least`` times together.
+
+    ``known`` (broadcasts) has the bits of each shorter length: only runs that begin with frequent ones are counted.
+    """
+    counted = _texts(docs, text, lang).mapInArrow(_count_cells(bits, lengths, known), "row int, places binary, counts binary")
     rows = counted.repartition("row").sortWithinPartitions("row").mapInArrow(_frequent_rows(least), "row int, bits binary")
     size = 1 << ROW_BITS - 3
-    out = np.zeros((1 << CELL_BITS) // 8, np.uint8)
-    for r in rows.collect():  # a fixed number of rows
-        out[r["row"] * size : (r["row"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for r in rows.collect():  # a bounded number of rows
+        out[r["row"] * size : (r["row"] + 1) * size] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return out
 
 
 def phrase_edges(docs: DataFrame, least: int = 30, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``lang``, ``w1`` to ``w4`` and ``n``: edges, and tails with missing last words, cut at pairs rarer than ``least``."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, least, text, lang))
+    """``lang``, ``run`` and ``n``: edges of four words and shorter tails, joined by spaces; rare words count without a name."""
+    context, bits = docs.sparkSession.sparkContext, cell_bits(docs, text)
+    known = [context.broadcast(frequent_cells(docs, least, bits, (1, 2), (), text, lang))] * 2
+    for length in range(3, LONGEST + 1):
+        known.append(context.broadcast(frequent_cells(docs, least, bits, (length,), tuple(known), text, lang)))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 words = _Words(part)
                 if len(words.word):
-                    yield _edges_of(words, frequent.value)
-
-    kinds = ", ".join(f"{w} string" for w in WORDS)
-    found = _texts(docs, text, lang).mapInArrow(edges, f"lang string, {kinds}, n long")
-    return found.groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
-
-
-def _edges_of(words: _Words, frequent: np.ndarray) -> pa.RecordBatch:
-    pairs = np.flatnonzero(words.joined)
-    cells = words.cells(pairs)
-    go_on = np.zeros(len(words.word) + LONGEST, bool)
-    go_on[pairs] = frequent[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1
-    # Single words first: most of all rows.
-    alone = np.flatnonzero(~go_on[: len(words.word)])
+                    yield _edges_of(words, bits, [b.value for b in known])
+
+    found = _texts(docs, text, lang).mapInArrow(edges, "lang string, run string, n long")
+    return found.groupBy("lang", "run").agg(F.sum("n").alias("n"))
+
+
+def _edges_of(words: _Words, bits: int, frequent: Sequence[np.ndarray]) -> pa.RecordBatch:
+    """Every word's run of up to ``LONGEST`` words, as far as its beginnings of known lengths are frequent."""
+    going, size = np.ones(len(words.word), bool), np.zeros(len(words.word), np.int64)
+    for length, (run, fits) in enumerate(zip(words.hashes(), words.reaches())):
+        if length == LONGEST:
+            break
+        going &= fits
+        if length < len(frequent):
+            going[going] = _is_frequent(_cells(run[going], bits), frequent[length])
+        size += going
+    # Runs of at most one word first: most of all rows.
     n_names = len(words.names)
-    single = np.bincount(words.lang[alone] * n_names + words.word[alone], minlength=1)
+    name = np.where(size == 0, n_names, words.word)
+    single = np.bincount((words.lang * (n_names + 1) + name)[size < 2], minlength=1)
     one = np.flatnonzero(single)
-    columns = [[one // n_names], [one % n_names], *([np.full(len(one), -1)] for _ in WORDS[1:]), [single[one]]]
-    at = np.flatnonzero(go_on[: len(words.word)])
+    columns = [[one // (n_names + 1)], [one % (n_names + 1)], *([np.full(len(one), -1)] for _ in WORDS[1:]), [single[one]]]
+    columns[1][0][columns[1][0] == n_names] = -1
+    at = np.flatnonzero(size > 1)
     if len(at):
-        runs, alive = [words.word[at]], np.ones(len(at), bool)
         padded = np.append(words.word, np.zeros(LONGEST, np.int64))
-        for i in range(1, LONGEST):
-            alive = alive & go_on[at + i - 1]
-            runs.append(np.where(alive, padded[at + i], -1))
+        runs = [np.where(size[at] > i, padded[at + i], -1) for i in range(LONGEST)]
         keys = {"lang": words.lang[at], **dict(zip(WORDS, runs))}
         grouped = pa.table({k: pa.array(v.astype(np.int32)) for k, v in keys.items()}).group_by(list(keys)).aggregate([([], "count_all")])
         for column, name in zip(columns, [*keys, "count_all"]):
             column.append(grouped.column(name).to_numpy())
     lang, *runs, n = (np.concatenate(c) for c in columns)
-    names = words.names.cast(pa.large_string())
-    taken = [names.take(pa.array(r, pa.int64(), mask=r < 0)).cast(pa.string()) for r in runs]
-    return pa.record_batch([words.langs.take(pa.array(lang)), *taken, pa.array(n, pa.int64())], ["lang", *WORDS, "n"])
+    names = [*(name.decode() for name in words.names.to_pylist()), None]  # the last one stands for -1
+    run = pa.array(names, pa.string()).take(pa.array(np.where(runs[0] < 0, len(names) - 1, runs[0])))
+    longer = np.flatnonzero(runs[1] >= 0)
+    if len(longer):  # they stand behind the single words
+        joined = [" ".join([names[i] for i in numbers if i >= 0]) for numbers in zip(*(r[longer].tolist() for r in runs))]
+        run = pa.concat_arrays([run[: len(run) - len(longer)], pa.array(joined, pa.string())])
+    return pa.record_batch([words.langs.take(pa.array(lang)), run, pa.array(n, pa.int64())], ["lang", "run", "n"])
+
+
+def _parted(runs: DataFrame, length: int) -> DataFrame:
+    """Runs of a length with a column per word."""
+    part = F.split("run", " ")
+    return runs.select("lang", *[part[i].alias(w) for i, w in enumerate(WORDS[:length])], "n")
 
 
 def unary_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -243,10 +323,6 @@ def compact_paths(edges: DataFrame, unary: DataFrame) -> DataFrame:
     return parts.select("lang", F.concat(first, F.col("run")[WORDS[-1]]).alias("words"), "n")
 
 
-def _counts(run: DataFrame, length: int) -> DataFrame:
-    return run.select("lang", F.array(*WORDS[:length]).alias("words"), F.col("n").alias("a"))
-
-
 def _phrase(words: Column) -> Column:
     return F.array_join(words, " ")
 
@@ -256,32 +332,25 @@ def phrase_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: st
 
     ``inner`` marks runs of three words inside a unary path.
     """
-    edges = stage(phrase_edges(docs, least, text, lang), "phrase-edges")
+    edges = stage(phrase_edges(docs, least, text, lang).withColumn("k", F.size(F.split("run", " "))), "phrase-edges")
     # Flows: what leaves a node, tails included, from the longest runs down.
-    flows = {LONGEST: edges}
-    for length in range(LONGEST - 1, 0, -1):
-        run = ["lang", *WORDS[:length]]
-        tails = edges.where(F.col(f"w{length}").isNotNull() & F.col(f"w{length + 1}").isNull())
-        leaving = flows[length + 1].where(F.col(f"w{length + 1}").isNotNull())
-        flows[length] = leaving.select(*run, "n").union(tails.select(*run, "n")).groupBy(*run).agg(F.sum("n").alias("n"))
-    shorter = stage(
-        reduce(
-            lambda a, b: a.unionByName(b, allowMissingColumns=True),
-            [flows[k].where(F.col("n") >= least).withColumn("length", F.lit(k)) for k in range(LONGEST - 1, 0, -1)],
-        ),
-        "phrase-nodes",
-    )
-    # Every word begins one edge or tail.
+    flows, longer = [], edges.where(F.col("k") == LONGEST).select("lang", "run", "n")
+    for k in range(LONGEST - 1, 0, -1):
+        leaving = longer.select("lang", F.substring_index("run", " ", k).alias("run"), "n")
+        longer = leaving.union(edges.where(F.col("k") == k).select("lang", "run", "n")).groupBy("lang", "run").agg(F.sum("n").alias("n"))
+        flows.append(longer.where(F.col("n") >= least).withColumn("k", F.lit(k)))
+    shorter = stage(reduce(DataFrame.union, flows), "phrase-nodes")
+    # Every word begins one edge or tail, or is counted without its name.
     totals = edges.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = edges.where(f"w{LONGEST} IS NOT NULL").where(F.col("n") >= least)
-    unary = stage(unary_nodes(frequent, shorter.where(f"length = {LONGEST - 1}")), "unary-nodes")
+    frequent = _parted(edges.where((F.col("k") == LONGEST) & (F.col("n") >= least)), LONGEST)
+    unary = stage(unary_nodes(frequent, _parted(shorter.where(f"k = {LONGEST - 1}"), LONGEST - 1)), "unary-nodes")
     paths = stage(compact_paths(frequent, unary), "phrase-paths")
     starts = F.explode(F.sequence(F.lit(1), F.size("words") - (LONGEST - 1)))
     longest = paths.select("lang", "words", "n", starts.alias("at")).select(
         "lang", F.expr(f"slice(words, at, {LONGEST})").alias("words"), F.col("n").alias("a"), F.lit(False).alias("inner")
     )
     inside = unary.select("lang", F.array("v1", "v2", "v3").alias("words"), F.lit(True).alias("inner"))
-    rest = reduce(DataFrame.unionByName, [_counts(shorter.where(f"length = {k}"), k) for k in range(LONGEST - 1, 0, -1)])
+    rest = shorter.select("lang", F.split("run", " ").alias("words"), F.col("n").alias("a"))
     rest = rest.join(inside, ["lang", "words"], "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
     return stage(longest.unionByName(rest), "phrase-counts"), totals, paths
 

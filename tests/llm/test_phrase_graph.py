@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from panelweave.llm import phrase_graph
-from panelweave.llm.phrase_graph import collocations, compact_paths, frequent_cells, phrase_counts, phrase_edges, unary_nodes
+from panelweave.llm.phrase_graph import cell_bits, collocations, compact_paths, frequent_cells, phrase_counts, phrase_edges, unary_nodes
 
 SCHEMA = "doc_id long, text string, lang string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -92,25 +92,24 @@ def test_edges_on_a_cycle_stay_alone(spark):
 
 def test_rare_edges_stay_in_their_task(spark):
     rows = some_rows()
-    docs = spark.createDataFrame(rows, SCHEMA)
-    edges = phrase_edges(docs, least=5)
-    whole = {(lang, p) for lang, runs in runs_of(rows).items() for p in runs}
-    pairs = {(lang, p[:2]) for lang, runs in runs_of(rows).items() for p, a in runs.items() if len(p) == 2 and a >= 5}
-    for r in edges.where("w2 IS NOT NULL").collect():
-        run = tuple(w for w in r[1:5] if w is not None)
-        assert (r.lang, run) in whole and all((r.lang, run[i : i + 2]) in pairs for i in range(len(run) - 1))
-    assert edges.agg(F.sum("n")).first()[0] == sum(a for runs in runs_of(rows).values() for p, a in runs.items() if len(p) == 1)
+    runs = {(lang, p): a for lang, runs in runs_of(rows).items() for p, a in runs.items()}
+    edges = phrase_edges(spark.createDataFrame(rows, SCHEMA), least=5).collect()
+    for r in edges:
+        run = tuple(r.run.split(" ")) if r.run is not None else ()
+        assert all(runs[r.lang, run[:k]] >= 5 for k in range(1, len(run) + 1))
+    assert sum(r.n for r in edges) == sum(a for (_, p), a in runs.items() if len(p) == 1)
 
 
 def test_a_shared_cell_changes_no_count(spark):
     rows = some_rows(20)
     batch = pa.record_batch([pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], ["text", "lang"])
     words = phrase_graph._Words(batch)
-    out = phrase_graph._edges_of(words, np.full(1 << 23, 255, np.uint8)).to_pylist()
+    out = phrase_graph._edges_of(words, 20, [np.full(1 << 17, 255, np.uint8)] * 4).to_pylist()
     got = Counter()
     for r in out:
-        run = tuple(r[w] for w in phrase_graph.WORDS if r[w] is not None)
+        run = tuple(r["run"].split(" ")) if r["run"] is not None else ()
         for k in range(1, len(run) + 1):
             got[r["lang"], run[:k]] += r["n"]
     assert got == Counter({(lang, p): a for lang, runs in runs_of(rows).items() for p, a in runs.items()})
-    assert frequent_cells(spark.createDataFrame(rows, SCHEMA), 5).nbytes == 1 << 23
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert frequent_cells(docs, 5, cell_bits(docs), (1, 2)).nbytes == 1 << 17
