@@ -168,7 +168,7 @@ class Model:
     languages: list[str]
     pieces: Pieces
     chances: np.ndarray
-    #: Mean log chance of a sign in each language's own training words.
+    #: Mean log chance of a sign in words of each language that the chances were not learned from.
     usual: np.ndarray
 
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,29 +192,38 @@ def _signs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 
 
 def fit(counts: pa.Table, pieces: Pieces, size: int) -> Model:
-    """Piece chances of each language by expectation and maximisation over its counted words."""
+    """Piece chances of each language by expectation and maximisation over its counted words.
+
+    What a sign usually costs is measured across two halves of the texts, each with the chances of
+    the other; copies are in one half. So few or equal texts make nothing look strange.
+    """
     languages = sorted(set(counts["lang"].to_pylist()))
     words = counts["word"].combine_chunks().dictionary_encode()
     if isinstance(words, pa.ChunkedArray):
         words = words.combine_chunks()
     data, bounds = texts.text_bytes(pa.chunked_array([words.dictionary]))
-    weights = np.zeros((len(words.dictionary), len(languages)))
+    weights = np.zeros((2, len(words.dictionary), len(languages)))
     lang = np.array([languages.index(x) for x in counts["lang"].to_pylist()], np.int64)
-    np.add.at(weights, (words.indices.to_numpy(), lang), texts.numbers(counts["n"], float))
-    chances = np.full((size, len(languages)), 1.0 / size)
-    if len(weights):
-        lattice = Lattice(data, bounds[:-1], np.diff(bounds), pieces)
-        for _ in range(ROUNDS):
-            used = lattice.expected(chances, weights)
-            own = used / np.maximum(used.sum(axis=0), 1e-300)
-            pooled = own.mean(axis=1, keepdims=True)
-            chances = (1 - POOLED - FLAT) * own + POOLED * pooled + FLAT / size
-        logs = np.log(np.maximum(lattice.totals(lattice.forward(chances)), 1e-300))
-        signs = _signs(data, bounds[:-1], np.diff(bounds))
-        usual = (weights * logs).sum(axis=0) / (weights * signs[:, None]).sum(axis=0)
-    else:
-        usual = np.full(len(languages), -1.0)
-    return Model(languages, pieces, chances, usual)
+    np.add.at(weights, (texts.numbers(counts["half"]), words.indices.to_numpy(), lang), texts.numbers(counts["n"], float))
+    if not weights.size:
+        return Model(languages, pieces, np.full((size, len(languages)), 1.0 / size), np.full(len(languages), -1.0))
+    lattice = Lattice(data, bounds[:-1], np.diff(bounds), pieces)
+    signs, total, cost = _signs(data, bounds[:-1], np.diff(bounds)), 0.0, 0.0
+    for half in (0, 1):
+        logs = np.log(np.maximum(lattice.totals(lattice.forward(_learned(lattice, weights[half], size))), 1e-300))
+        cost = cost + (weights[1 - half] * logs).sum(axis=0)
+        total = total + (weights[1 - half] * signs[:, None]).sum(axis=0)
+    return Model(languages, pieces, _learned(lattice, weights.sum(axis=0), size), cost / np.maximum(total, 1e-300))
+
+
+def _learned(lattice: Lattice, weights: np.ndarray, size: int) -> np.ndarray:
+    chances = np.full((size, weights.shape[1]), 1.0 / size)
+    for _ in range(ROUNDS):
+        used = lattice.expected(chances, weights)
+        own = used / np.maximum(used.sum(axis=0), 1e-300)
+        pooled = own.mean(axis=1, keepdims=True)
+        chances = (1 - POOLED - FLAT) * own + POOLED * pooled + FLAT / size
+    return chances
 
 
 def held_out(doc: Column) -> Column:
@@ -230,8 +239,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, which = _distinct(raw, starts, sizes)
             words = [raw[a : a + n].tobytes() for a, n in zip(starts[first].tolist(), sizes[first].tolist())]
             lang = pa.array([batch["lang"][i].as_py()] * len(words), pa.string())
+            half = pa.array([batch["half"][i].as_py()] * len(words), pa.int32())
             count = pa.array(np.bincount(which, minlength=len(words)), pa.int64())
-            yield pa.RecordBatch.from_arrays([lang, pa.array(words, pa.binary()), count], ["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([lang, half, pa.array(words, pa.binary()), count], ["lang", "half", "word", "n"])
 
 
 def train(labelled: DataFrame, path: str = VOCABULARY, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -250,15 +260,15 @@ def train(labelled: DataFrame, path: str = VOCABULARY, sample_rows: int = SAMPLE
         rate = F.element_at(F.create_map(*rates), F.col("lang"))
     likely = known.where(chance < rate)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
-    sample = likely.withColumn("_nth", nth).where(F.col("_nth") <= sample_rows).select("lang", "text")
+    sample = likely.withColumn("_nth", nth).where(F.col("_nth") <= sample_rows).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
     counts = (
-        sample.mapInArrow(_count_words, "lang string, word binary, n long")
-        .groupBy("lang", "word")
+        sample.mapInArrow(_count_words, "lang string, half int, word binary, n long")
+        .groupBy("lang", "half", "word")
         .agg(F.sum("n").alias("n"))
         .toArrow()
     )
     listed = vocabulary(path)
-    return fit(counts.sort_by([("lang", "ascending"), ("word", "ascending")]), Pieces.of(listed), len(listed))
+    return fit(counts.sort_by([("lang", "ascending"), ("half", "ascending"), ("word", "ascending")]), Pieces.of(listed), len(listed))
 
 
 def _predict(model: Model):
@@ -309,8 +319,8 @@ def language_id(
     over all its segmentations into vocabulary pieces. Languages are equally likely beforehand.
 
     The score compares the learned languages only. ``strangeness`` tells how well the best one
-    fits at all: the mean log chance of the text's signs, as a multiple of what it is in that
-    language's training words. It is about 1 for texts like those, 2 to 3 for other texts of
+    fits at all: the mean log chance of the text's signs, as a multiple of what it is in labelled
+    texts of that language that were not learned from. It is about 1 for texts like those, 2 to 3 for other texts of
     the language or close relatives, more for other languages, scripts and letter junk; it does not
     grow with the length. A text without words has none.
 
