@@ -22,28 +22,36 @@ from panelweave.sources import stage
 MOST_STRANGE = 3.0
 #: Benchmark items with fewer words are common phrases; a document is not dropped for them.
 LEAST_ITEM_WORDS = 4
-FILE, ROW = "_stage_file", "_stage_row"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with numbers that any later read of the same files gives again.
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not use."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with numbers that any later read of the same files gives again, and the numbers' column.
 
     A row's number is made of its file's place in the list of files and its place in the file.
     Rows that come from no file are written first.
     """
     if not docs.inputFiles():
         docs = stage(docs, "rows")
-    place = docs.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
-    paths = [r[0] for r in place.select(FILE).distinct().orderBy(FILE).collect()]
-    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), f"_stage_number long, {FILE} string")
-    # One row per input file, which the driver lists anyway.
-    numbered = place.join(F.broadcast(files), FILE)
-    return numbered.withColumn(ROW, F.shiftleft("_stage_number", 36) + F.col(ROW)).drop(FILE, "_stage_number")
+    file, number, row = (_free(docs, f"_stage_{c}") for c in ("file", "number", "row"))
+    place = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    # One row per input file, which the driver lists anyway. Spark broadcasts the list if it is small.
+    paths = [r[0] for r in place.select(file).distinct().orderBy(file).collect()]
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), f"{number} long, {file} string")
+    numbered = place.join(files, file)
+    return numbered.withColumn(row, F.shiftleft(number, 36) + F.col(row)).drop(file, number), row
 
 
-def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+def _without(rows: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
     """The other rows. The join is the same for a short list and a long one: it never broadcasts."""
-    return rows.join(dropped.select(ROW).hint("merge"), ROW, "left_anti").drop(ROW)
+    return rows.join(dropped.select(row).hint("merge"), row, "left_anti").drop(row)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,38 +59,43 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows go by themselves: missing or repeated ids, ties and extra columns of any name change nothing.
     """
-    whole = docs.select(F.struct("*").alias(ROW), "text")
-    learned = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias(ROW), "text", "lang")
-    judged = language_id(whole, learned, doc=ROW)
+    row = _free(docs, "_stage_row")
+    whole = docs.select(F.struct("*").alias(row), "text")
+    learned = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias(row), "text", "lang")
+    judged = language_id(whole, learned, doc=row)
     # A text whose letters are no words for the operator is not judged strange.
     fits = F.coalesce(F.col("strangeness") <= MOST_STRANGE, F.lit(True))
-    return judged.where((F.col("lang_pred") != UNKNOWN) & fits).select(f"{ROW}.*")
+    return judged.where((F.col("lang_pred") != UNKNOWN) & fits).select(f"{row}.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates, the one with the smallest id."""
-    rows = _numbered(docs)
-    joined = jaccard_join(rows, doc=ROW).join(rows.select(ROW, "doc_id"), ROW)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
-    stays = joined.groupBy("component_id").agg(F.min(order)[ROW].alias("stays"))
-    others = joined.select(ROW, "component_id").join(stays, "component_id").where(F.col(ROW) != F.col("stays"))
-    return _without(rows, others)
+    """Keep one document of each group of near duplicates, the one with the smallest id.
+
+    Of equal ids the first in the files stays, a missing id comes last; documents without words
+    are in no group and stay; no documents give none.
+    """
+    rows, row = _numbered(docs)
+    joined = jaccard_join(rows, doc=row).join(rows.select(row, "doc_id"), row)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    stays = joined.groupBy("component_id").agg(F.min(order)[row].alias("stays"))
+    others = joined.select(row, "component_id").join(stays, "component_id").where(F.col(row) != F.col("stays"))
+    return _without(rows, row, others)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage of a benchmark item."""
+    """Drop documents that hold a passage of a benchmark item; without documents or items nothing goes."""
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_words=LEAST_ITEM_WORDS)
 
 
 def no_live_secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents with a secret that looks live; those with copied examples or mere numbers stay."""
-    rows = _numbered(docs)
-    found = secret_scan(rows, doc=ROW, repository=ROW)
-    return _without(rows, found.where(F.exists("found", lambda r: r["live"] & ~r["number"])))
+    """Drop documents with a secret that looks live; those with copied examples, mere numbers or no text stay."""
+    rows, row = _numbered(docs)
+    found = secret_scan(rows, doc=row, repository=row)
+    return _without(rows, row, found.where(F.exists("found", lambda r: r["live"] & ~r["number"])))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix: sources at their target weights, dealt to shards and shuffled there."""
+    """The training mix: sources at their target weights, dealt to shards and shuffled there; no documents, no mix."""
     return mix_sources(docs)
 
 
