@@ -21,21 +21,25 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:
 ID_NUMBER = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 KINDS = ("email", "ip", "card", "phone", "iban", "id_number")
 BASE = KINDS[:4]
-# Words that make a kind more likely, and words that make any kind less likely.
+# Words that make a kind more likely, and words that make any kind less likely, in
+# English, German, French and Spanish.
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
-    "ip": ("ip", "address", "host", "server", "login"),
-    "card": ("card", "visa", "credit", "payment", "debit"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
-    "iban": ("iban", "bank", "account", "transfer"),
-    "id_number": ("ssn", "social", "security", "identity"),
+    "email": ("mail", "email", "contact", "write", "kontakt", "schreiben", "courriel", "contactez", "correo", "contacto", "escribe"),
+    "ip": ("ip", "address", "host", "server", "login", "adresse", "rechner", "serveur", "hôte", "dirección", "servidor"),
+    "card": ("card", "visa", "credit", "payment", "debit", "karte", "kreditkarte", "zahlung", "carte", "paiement", "tarjeta", "pago"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "handy", "anrufen", "téléphone", "appeler", "teléfono", "llamar", "móvil"),
+    "iban": ("iban", "bank", "account", "transfer", "konto", "überweisung", "compte", "virement", "banque", "cuenta", "banco"),
+    "id_number": ("ssn", "social", "security", "identity", "ausweis", "sozialversicherung", "sécurité", "identité", "seguridad", "identidad"),
 }
-DOUBT = ("example", "sample", "test", "version", "isbn", "order")
+DOUBT = (
+    "example", "sample", "test", "version", "isbn", "order",
+    "beispiel", "muster", "bestellung", "exemple", "essai", "commande", "ejemplo", "prueba", "pedido",
+)
 #: Score of a pattern alone, and what a passed checksum, a context word and a word of doubt change.
 PRIOR, CONFIRMED, NEARBY, DOUBTFUL = 0.5, 0.4, 0.2, -0.2
 #: Characters on either side that are looked at for words, and the score from which added kinds count.
 REACH, LEAST = 40, 0.7
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
