@@ -7,6 +7,7 @@ go by rows, not by ids, so missing or repeated ids do no harm.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +43,12 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
         docs = stage(docs, "rows")
     file, number, row = (_free(docs, f"_stage_{c}") for c in ("file", "number", "row"))
     place = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
-    # One row per input file, which the driver lists anyway. Spark broadcasts the list if it is small.
+    # One row per input file, which the driver lists anyway. From Arrow Spark knows the list's size and, if it is
+    # small, broadcasts it; a list of Python rows counts as endless, and the texts would be shuffled to meet it.
     paths = [r[0] for r in place.select(file).distinct().orderBy(file).collect()]
-    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), f"{number} long, {file} string")
+    files = docs.sparkSession.createDataFrame(
+        pa.table({number: pa.array(range(len(paths)), pa.int64()), file: pa.array(paths, pa.string())})
+    )
     numbered = place.join(files, file)
     return numbered.withColumn(row, F.shiftleft(number, 36) + F.col(row)).drop(file, number), row
 
