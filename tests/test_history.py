@@ -122,3 +122,21 @@ def test_one_sort_and_no_python(short):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Sort [") == 1
     assert "Python" not in text
+
+
+def test_sparse_and_whole_histories_share_a_sort(noisy):
+    rows = noisy.repartition("k").select("k", "m", "v", "present", F.col("v").alias("w"), F.col("v").alias("x"))
+    block = op.history_block(rows, "k", "m", ["v"], F.col("present"))
+    block = op.history_block(block, "k", "m", ["w"], F.col("v").isNotNull())
+    block = op.history_block(block.where("m > 3"), "k", "m", ["x"])
+    text = block._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Sort [") == 1
+
+
+def test_sparse_history_steps_over_missing_parts(spark):
+    """A present row with a missing value counts as a row; an absent row does not."""
+    values = [(5.0, True), (None, True), (9.0, False), (1.0, True), (None, False), (3.0, True)]
+    df = spark.createDataFrame([(1, m, *v) for m, v in enumerate(values)], "k int, m int, v double, p boolean")
+    got = ordered(op.sparse_history(df, "k", "m", F.col("p"), "v"), "v_rolling_mean_3", "v_cummean", "v_cummax")
+    assert got[:4] == [(5.0, 5.0, 5.0), (5.0, None, None), (None, None, None), (3.0, 2.0, 5.0)]
+    assert got[4] == (None, None, None) and got[5][0] == 2.0 and close(got[5][1], 9.0 / 4)
