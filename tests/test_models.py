@@ -115,3 +115,18 @@ def test_a_staged_table_is_removed_when_its_block_fails(spark):
         assert table.count() == 3
         raise ValueError
     assert not list(Path(shared_dir(spark)).glob("doomed-*"))
+
+
+def test_panels_spread_small_shuffles_unless_the_session_says_otherwise(spark, sf_dir):
+    from panelweave.catalog import queries
+
+    key, other = queries.PANEL_SETTINGS
+    for k in (key, other):
+        spark.conf.unset(k)
+    spark.conf.set(other, "8m")
+    try:
+        queries._known_panel(spark, sf_dir)
+        assert spark.conf.get(key) == queries.PANEL_SETTINGS[key] and spark.conf.get(other) == "8m"
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset(other)
