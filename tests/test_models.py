@@ -117,6 +117,22 @@ def test_a_staged_table_is_removed_when_its_block_fails(spark):
     assert not list(Path(shared_dir(spark)).glob("doomed-*"))
 
 
+def test_forest_stages_columns_and_bounds_its_copies(panel, monkeypatch):
+    from panelweave.models import forecaster
+
+    written, real = {}, forecaster.staged
+
+    def noted(df, name):
+        written[name] = df.columns
+        return real(df, name)
+
+    monkeypatch.setattr(forecaster, "staged", noted)
+    forest = ForestBaseline(FEATURES, trees=2, max_depth=2, horizons=H)
+    forest.fit(panel)
+    assert written["training"] == ["entity", "month", "y_1", "y_2", *FEATURES]
+    assert forest._at_once(8_000) == 4 and forest._at_once(1 << 30) == 1
+
+
 def test_panels_spread_small_shuffles_unless_the_session_says_otherwise(spark, sf_dir):
     from panelweave.catalog import queries
 
