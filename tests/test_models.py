@@ -133,16 +133,8 @@ def test_forest_stages_columns_and_bounds_its_copies(panel, monkeypatch):
     assert forest._at_once(8_000) == 4 and forest._at_once(1 << 30) == 1
 
 
-def test_panels_spread_small_shuffles_unless_the_session_says_otherwise(spark, sf_dir):
+def test_the_known_panel_is_made_by_all_cores(spark, sf_dir):
     from panelweave.catalog import queries
 
-    key, other = queries.PANEL_SETTINGS
-    for k in (key, other):
-        spark.conf.unset(k)
-    spark.conf.set(other, "8m")
-    try:
-        queries._known_panel(spark, sf_dir)
-        assert spark.conf.get(key) == queries.PANEL_SETTINGS[key] and spark.conf.get(other) == "8m"
-    finally:
-        spark.conf.unset(key)
-        spark.conf.unset(other)
+    known = queries._known_panel(spark, sf_dir)
+    assert known.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
